@@ -48,6 +48,20 @@ def utf8(column: str = "text"):
     return F.encode(F.coalesce(F.col(column), F.lit("")), "utf-8")
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, lengthened until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose monotonically_increasing_id() is in gone's one column."""
+    row = free_name("_row", docs, gone)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow of a function of one batch; f may give None for nothing."""
 

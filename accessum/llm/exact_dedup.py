@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import slices, stage
+from ._util import free_name, slices, stage, without_rows
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS, WINDOW = 512, 16384, 11, 32
 ID_BYTES = 16
@@ -81,7 +81,7 @@ def _recipes(batches):
     for ids, texts, cuts in _batches(batches):
         recipes = [b"".join(_chunk_id(t[a:b]) for a, b in zip([0, *ends], ends)) for t, ends in zip(texts, cuts)]
         shas = [hashlib.sha256(t).hexdigest() for t in texts]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(recipes, pa.binary()), pa.array(shas)], ["doc_id", "recipe", "text_sha256"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(recipes, pa.binary()), pa.array(shas)], ["key", "recipe", "text_sha256"])
 
 
 def _chunks(batches):
@@ -107,10 +107,12 @@ def normalised(column: str = "text"):
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, recipe (its chunks' identifiers, ID_BYTES each, in order), text_sha256 of the normalised text."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.encode(normalised(text_col), "utf-8").alias("body"))
+    """doc_id, row_id, recipe (its chunks' identifiers, ID_BYTES each, in order), text_sha256 of the normalised text."""
+    key = F.struct(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"))
+    texts = docs.select(key.alias("key"), F.encode(normalised(text_col), "utf-8").alias("body"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.mapInArrow(_recipes, f"doc_id {kind}, recipe binary, text_sha256 string")
+    out = texts.mapInArrow(_recipes, f"key struct<doc_id:{kind},row_id:bigint>, recipe binary, text_sha256 string")
+    return out.select("key.*", "recipe", "text_sha256")
 
 
 def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -124,28 +126,29 @@ def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, row_id (its place in docs).
 
     Texts are equal when identical after replacing each run of ASCII white space by one space (no trimming). The row
-    with the smallest id of a group stays. Null text: equal to empty. Null id: after every other id, so it stays only
-    in a group without ids (keep_id null; each such row is then kept = false but for one row when the group has no
-    id at all, which is reported as kept). Rows that repeat an id: each counts in group_size and each with the
-    smallest id is kept (rows alike in id and text are one document, recorded twice). Empty table: no rows. Other columns are ignored.
+    with the smallest id of a group stays, and of rows that repeat that id the first in the table; exactly one row of a
+    group stays. Null text: equal to empty. Null id: after every other id, so such a row stays only in a group without
+    ids, with keep_id null. Empty table: no rows. Other columns are ignored.
     """
     store = chunk_store(docs, text_col)
     if clash := store.filter("variants > 1").select(F.hex("chunk_id")).first():
         raise ValueError(f"two chunks share the identifier {clash[0]}; raise ID_BYTES")
     rows = stage(recipes(docs, id_col, text_col), "recipes")
-    groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = rows.join(groups.withColumnRenamed("recipe", "group_recipe"), F.col("recipe") == F.col("group_recipe"))
-    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
+    groups = rows.groupBy(F.col("recipe").alias("same")).agg(first.alias("keep"), F.count("*").alias("group_size"))
+    joined = rows.join(groups, F.col("recipe") == F.col("same"))
     n_chunks = (F.octet_length("recipe") / ID_BYTES).cast("int")
-    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", n_chunks.alias("n_chunks"))
+    kept = F.col("row_id") == F.col("keep.row_id")
+    return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", n_chunks.alias("n_chunks"), "row_id")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() doesn't keep; all columns stay. Rows without an id stay."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    same = (docs[id_col] == F.col("_gone_id")) & (F.sha2(F.encode(normalised(text_col), "utf-8"), 256) == F.col("_gone_sha"))
-    return docs.join(gone, same, "left_anti")
+    """docs without the rows that exact_groups() doesn't keep; all columns stay.
+
+    docs must give the same rows in the same partitions each time it is read, as a table does.
+    """
+    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row_id").alias(free_name("_gone", docs)))
+    return without_rows(docs, gone)
