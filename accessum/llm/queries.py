@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, quality, token_counts
+from . import byte_bpe, exact_dedup, mixing, quality, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), token_counts.vocabulary_path())
 
@@ -30,9 +34,31 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_quality, op9_byte_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_token_counts, op7_quality, op9_byte_bpe, op10_exact_dedup)}
 
 ORACLES = {
+    "op2_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src,
+                len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::BIGINT % 64 AS salt
+            FROM documents),
+        s AS (SELECT none, src, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
+        w AS (SELECT *, 3 * source_size AS top, ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY none, src) - 1) % 3 + 1] AS weight FROM s),
+        a AS (
+            SELECT *, (sum(source_size) OVER ())::BIGINT - coalesce(sum(top) OVER (ORDER BY top / weight, none, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rest,
+                sum(weight) OVER (ORDER BY top / weight, none, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+            FROM w),
+        l AS (SELECT rest, share FROM a WHERE rest / share <= top / weight ORDER BY top / weight, none, src LIMIT 1),
+        t AS (SELECT none, src, source_size, least(top::DOUBLE, weight * l.rest / l.share) AS target FROM a, l),
+        r AS (
+            SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each,
+                ('0x' || substr(md5('mix-1' || CASE WHEN none THEN '-' ELSE '+' || src END), 1, 5))::BIGINT / 1048576.0::DOUBLE AS u,
+                row_number() OVER (PARTITION BY none, src ORDER BY size, salt, doc_id NULLS FIRST) AS n
+            FROM d JOIN t USING (none, src)),
+        c AS (SELECT *, least(3, floor(each * n + u) - floor(each * (n - 1) + u))::BIGINT AS copies FROM r)
+        SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c
+    """,
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY 1)
