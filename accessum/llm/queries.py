@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality, sharding, token_counts
+from . import byte_bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(documents(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_balanced_shards, op5_token_counts, op7_quality, op9_byte_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op7_quality, op9_byte_bpe, op10_exact_dedup)}
 
 ORACLES = {
     "op2_mix_sources": r"""
