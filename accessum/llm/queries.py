@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts
+from . import byte_bpe, exact_dedup, media, mixing, quality, sharding, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.text_media(documents(spark, sf_dir)).select("doc_id", *facts, "position", "caption")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -42,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op7_quality, op9_byte_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op7_quality, op9_byte_bpe, op10_exact_dedup)}
 
 ORACLES = {
     "op2_mix_sources": r"""
