@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, media, mixing, quality, sharding, simhash, token_counts
+from . import byte_bpe, exact_dedup, media, mixing, quality, sharding, simhash, substrings, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), token_counts.vocabulary_path())
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -47,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op7_quality, op9_byte_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op6_repeated_substrings, op7_quality, op9_byte_bpe, op10_exact_dedup)}
 
 ORACLES = {
     "op2_mix_sources": r"""
