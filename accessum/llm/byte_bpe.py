@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,25 +168,29 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str | None = None) -> Dat
     return arrow_map(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256, n_bytes (decoded), whole.
+def round_trip(docs: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256, n_bytes (decoded), whole; with keep_ids also ids.
 
-    Encodes and decodes in one pass and keeps digests, so ids and bytes stay in the Python worker. whole: the decoded
+    Encodes and decodes in one pass; what is decoded, and without keep_ids the ids, stay in the Python worker. whole: the decoded
     bytes are the text's. Rules for nulls and repeated rows as in encode_texts().
     """
     pattern, kind = pattern or _default_pattern(), docs.schema[id_col].dataType.simpleString()
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "whole"] + ["ids"] * keep_ids
+
     def run(batches):
         coder = _coder(path, pattern)
         for batch in batches:
-            texts, rows = batch.column(1).to_pylist(), []
-            for t, ids in zip(texts, coder.encode_batch(texts)):
-                back = coder.decode(ids)
-                named = ",".join(map(coder.digits.__getitem__, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(named).hexdigest(), hashlib.sha256(back).hexdigest(), len(back), back == t.encode("utf-8")))
-            columns = list(zip(*rows)) or [()] * 5
-            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "whole"])
+            for i, j in slices(pa.compute.binary_length(batch.column(1)).to_pylist(), 4 << 20):
+                texts, rows = batch.column(1).slice(i, j - i).to_pylist(), []
+                for t, ids in zip(texts, coder.encode_batch(texts)):
+                    back = coder.decode(ids)
+                    named = ",".join(map(coder.digits.__getitem__, ids)).encode()
+                    row = (len(ids), hashlib.sha256(named).hexdigest(), hashlib.sha256(back).hexdigest(), len(back), back == t.encode("utf-8"))
+                    rows.append((*row, np.array(ids, np.int32)) if keep_ids else row)
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays], names)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, whole boolean")
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, whole boolean" + ", ids array<int>" * keep_ids)
