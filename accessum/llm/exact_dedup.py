@@ -139,6 +139,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stage(recipes(docs, id_col, text_col), "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
     groups = rows.groupBy(F.col("recipe").alias("same")).agg(first.alias("keep"), F.count("*").alias("group_size"))
+    groups = stage(groups, "groups")  # a join of two tables can be split where one group is large
     joined = rows.join(groups, F.col("recipe") == F.col("same"))
     n_chunks = (F.octet_length("recipe") / ID_BYTES).cast("int")
     kept = F.col("row_id") == F.col("keep.row_id")
