@@ -20,7 +20,7 @@ _OTSU = f"""w AS (SELECT topic, bin, centre, sum(n) OVER b AS w1, sum(n) OVER a
 _YEN = f"""q AS (SELECT topic, bin, centre, n / sum(n) OVER (PARTITION BY topic) AS p FROM h),
     w AS (SELECT topic, bin, centre, sum(p) OVER b AS p1, sum(p * p) OVER b AS q1, sum(p * p) OVER a AS q2 FROM q {_WINDOWS}),
     t AS (SELECT topic, arg_max(centre, (round(ln((p1 * (1 - p1)) ^ 2 / (q1 * q2)), 9), -bin)) AS threshold FROM w WHERE q2 > 0 AND p1 < 1 GROUP BY topic)"""
-_LI = """g AS (SELECT k, 0.01 + k * 0.01 AS t FROM range(98) r(k)),
+_LI = """g AS (SELECT k, 0.01::DOUBLE + k * 0.01::DOUBLE AS t FROM range(98) r(k)),
     u AS (SELECT h.topic, k, t, sum(CASE WHEN centre > t THEN n * centre ELSE 0 END) AS m1, sum(CASE WHEN centre > t THEN n ELSE 0 END) AS n1,
         sum(CASE WHEN centre > t THEN 0 ELSE n * centre END) AS m0, sum(CASE WHEN centre > t THEN 0 ELSE n END) AS n0 FROM h, g GROUP BY ALL),
     t AS (SELECT topic, arg_min(t, (round(-m1 * ln(m1 / n1) - m0 * ln(m0 / n0), 9), k)) AS threshold FROM u WHERE n1 > 0 AND n0 > 0 AND m1 > 0 AND m0 > 0 GROUP BY topic)"""
