@@ -57,9 +57,12 @@ def free_name(name: str, *frames: DataFrame) -> str:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose monotonically_increasing_id() is in gone's one column."""
+    """docs without the rows whose monotonically_increasing_id() is in gone's one column.
+
+    Only gone's side is held in memory, a partition at a time, so that long rows aren't sorted.
+    """
     row = free_name("_row", docs, gone)
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

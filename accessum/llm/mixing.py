@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
     """
     row, copy, times = free_name("_row", docs), free_name("_copy", docs), free_name("_times", docs)
     plan = mix_plan(docs, weights, cap, seed, **columns).filter("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
-    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(plan, row)
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(plan.hint("shuffle_hash"), row)
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[docs_column(c) for c in docs.columns])
 
 
