@@ -7,7 +7,7 @@ and a small dense layer turns them into one probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,26 +22,24 @@ CHUNK, STEP = BLOCK * BLOCKS_A_CHUNK, BLOCK * (BLOCKS_A_CHUNK - 1)
 WIDTH, HOP, EMBED, FILTERS, HIDDEN = 8, 2, 4, 16, 12
 #: Bounds of the sample a model is fitted on: rows of each label, bytes of one text (a window at a place its id decides).
 FIT_ROWS, FIT_BYTES = 2000, 4096
-EPOCHS, DOCS_A_STEP, RATE = 8, 64, 0.01
+EPOCHS, DOCS_A_STEP, RATE, AVERAGED = 10, 64, 0.006, 0.3
 THRESHOLD = 0.7
 HELD_OUT = 2
 
 
-def _layout(sizes: Iterable[int]) -> tuple[list[int], list[int]]:
-    """Chunks of each text (one at least) and the bytes they take when padded."""
-    chunks = [max(1, -(-(n - BLOCK) // STEP)) for n in sizes]
-    return chunks, [c * STEP + BLOCK for c in chunks]
-
-
-def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes with zeros after each, the first byte of each chunk, and the chunks of each text."""
-    chunks, widths = _layout(map(len, texts))
-    data = np.zeros(sum(widths) + WIDTH, np.uint8)
+def _padded(texts: list[bytes], ahead: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, each filled up with zeros to whole chunks and one block more, so that no window meets another
+    text; the first byte of each chunk; and the chunks of each text, one at least. ahead: bytes for that block's start."""
+    chunks = [max(1, -(-(len(t) - BLOCK) // STEP)) for t in texts]
+    data = np.zeros(sum(chunks) * STEP + 2 * BLOCK * len(texts), np.uint8)
     firsts, at = [], 0
-    for t, c, w in zip(texts, chunks, widths):
+    for i, (t, c) in enumerate(zip(texts, chunks)):
         data[at : at + len(t)] = np.frombuffer(t, np.uint8)
         firsts.append(at + STEP * np.arange(c))
-        at += w
+        at += c * STEP + BLOCK
+        if ahead:
+            data[at : at + len(ahead[i])] = np.frombuffer(ahead[i], np.uint8)
+        at += BLOCK
     return data, np.concatenate(firsts) if firsts else np.empty(0, np.int64), np.array(chunks)
 
 
@@ -59,17 +57,26 @@ class ByteConvNet:
         scale = {"embed": 0.5, "filters": 0.3, "dense": 0.4, "out": 0.4}
         return cls({k: (r.normal(0, scale.get(k, 0), s)).astype(np.float32) for k, s in shapes.items()})
 
-    def responses(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every HOP bytes of data: the window's embedding, and the filters' rectified responses."""
+    def responses(self, data: np.ndarray, texts: list[bytes], chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every HOP bytes of data: the window's embedding, and the filters' rectified responses.
+
+        Windows that start behind a text's end, and not at its start, respond with 0, so that filling up says nothing.
+        """
         flat = self.weights["embed"][data].reshape(-1)
         n = (len(data) - WIDTH) // HOP
         windows = np.lib.stride_tricks.as_strided(flat, (n, WIDTH * EMBED), (HOP * EMBED * 4, 4))
-        return windows, np.maximum(windows @ self.weights["filters"] + self.weights["bias"], 0)
-
-    def pooled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        active = np.maximum(windows @ self.weights["filters"] + self.weights["bias"], 0)
+        at = 0
+        for t, c in zip(texts, chunks):
+            end = at + c * STEP + 2 * BLOCK
+            active[(at + max(1, len(t)) + HOP - 1) // HOP : end // HOP] = 0
+            at = end
+        return windows, active
+
+    def pooled(self, texts: list[bytes], ahead: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Sums over each text's chunks of the filters' largest responses, and the number of chunks."""
-        data, firsts, chunks = _padded(texts)
-        _, active = self.responses(data)
+        data, firsts, chunks = _padded(texts, ahead)
+        _, active = self.responses(data, texts, chunks)
         a_block = BLOCK // HOP
         blocks = active[: len(active) // a_block * a_block].reshape(-1, a_block, FILTERS).max(1)
         at = firsts // BLOCK
@@ -83,11 +90,12 @@ class ByteConvNet:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
         sums, counts = np.zeros((len(texts), FILTERS)), np.zeros(len(texts))
+        size = limit // STEP * STEP
         for i, j in slices([len(t) for t in texts], limit):
-            size = limit // STEP * STEP
-            for k in range(0, max(1, max(map(len, texts[i:j])) - BLOCK), size) if j == i + 1 else (0,):
-                part = [t[k : k + size + BLOCK] for t in texts[i:j]] if j == i + 1 else texts[i:j]
-                s, c = self.pooled(part)
+            long = texts[i] if j == i + 1 else b""
+            for k in range(0, max(1, len(long) - BLOCK), size):
+                part = [long[k : k + size + BLOCK]] if long else texts[i:j]
+                s, c = self.pooled(part, [long[k + size + BLOCK : k + size + BLOCK + WIDTH]] if long else None)
                 sums[i:j] += s
                 counts[i:j] += c
         w = self.weights
@@ -98,7 +106,7 @@ class ByteConvNet:
         """Of the weighted logistic loss; a pooled response passes its gradient to the window that gave it."""
         w = self.weights
         data, firsts, chunks = _padded(texts)
-        windows, active = self.responses(data)
+        windows, active = self.responses(data, texts, chunks)
         inside = firsts[:, None] // HOP + np.arange(CHUNK // HOP)
         np.minimum(inside, len(active) - 1, out=inside)
         seen = active[inside]  # chunk, place, filter
@@ -126,11 +134,12 @@ class ByteConvNet:
         }
 
     def fit(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> ByteConvNet:
-        """Adam; the same sample gives the same model."""
+        """Adam; the weights are averaged over the steps of the last AVERAGED of the epochs. The same sample gives the same model."""
         r = np.random.default_rng(seed)
         first = {k: np.zeros(v.shape) for k, v in self.weights.items()}
         second = {k: np.zeros(v.shape) for k, v in self.weights.items()}
-        step = 0
+        total = {k: np.zeros(v.shape) for k, v in self.weights.items()}
+        step = summed = 0
         for epoch in range(epochs):
             order = r.permutation(len(texts))
             for i in range(0, len(order), DOCS_A_STEP):
@@ -142,6 +151,12 @@ class ByteConvNet:
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
                     self.weights[k] -= (rate * move).astype(np.float32)
+                if epoch >= epochs * (1 - AVERAGED):
+                    summed += 1
+                    for k, v in self.weights.items():
+                        total[k] += v
+        if summed:
+            self.weights = {k: (v / summed).astype(np.float32) for k, v in total.items()}
         return self
 
 
@@ -176,9 +191,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, n_byte
     )
     if len({r["quality"] for r in sample}) < 2:
         return ByteConvNet(prior=(totals.get(1, 0) + 1) / (sum(totals.values()) + 2))
-    y = np.array([r["quality"] for r in sample])
-    share = {q: len(y) / max(1, (y == q).sum()) / 2 for q in (0, 1)}
-    return ByteConvNet.fresh().fit([bytes(r["body"]) for r in sample], y, np.array([share[q] for q in y.tolist()]))
+    texts, y = [bytes(r["body"]) for r in sample], np.array([r["quality"] for r in sample])
+    share = {q: len(y) / max(1, (y == q).sum()) * totals[q] / sum(totals.values()) for q in (0, 1)}  # as frequent as among all labels
+    weight = np.array([share[q] for q in y.tolist()])
+    # any piece of a good text is good: one short piece of each, as few whole texts are short
+    r = np.random.default_rng(FIT_BYTES)
+    good = np.flatnonzero(y == 1)
+    sizes = np.exp(r.uniform(np.log(8), np.log(400), len(good))).astype(int)
+    pieces = [texts[i][(a := int(r.integers(0, max(1, len(texts[i]) - n)))) : a + n] for i, n in zip(good.tolist(), sizes.tolist())]
+    return ByteConvNet.fresh().fit(texts + pieces, np.concatenate([y, y[good]]), np.concatenate([weight, weight[good]]))
 
 
 def score_quality(docs: DataFrame, model: ByteConvNet, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
