@@ -66,13 +66,13 @@ def li(df: DataFrame, value: str, keys: tuple[str, ...] = (), bins: int = BINS,
     keys, h = list(keys), histogram(df, value, keys, bins)
     edges = h.filter("bin = 0").select(*keys, "low", "high")
     tries = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("high") - F.lit(step) - F.col("low") - F.lit(step)) / step).cast("int") - 1, F.lit(0)))
-    grid = edges.select(*keys, "low", F.explode(tries).alias("k")).select(*keys, "k", (F.col("low") + step + F.col("k") * step).alias("t"))
+    grid = edges.select(*keys, "low", F.explode(tries).alias("_k")).select(*keys, "_k", (F.col("low") + step + F.col("_k") * step).alias("_t"))
     both = h.drop("low", "high").join(grid, keys) if keys else h.drop("low", "high").crossJoin(F.broadcast(grid))
-    up = F.col("centre") > F.col("t")
+    up = F.col("centre") > F.col("_t")
     mass = F.col("n") * F.col("centre")
-    sums = both.groupBy(*keys, "k", "t").agg(
+    sums = both.groupBy(*keys, "_k", "_t").agg(
         F.sum(F.when(up, mass).otherwise(0.0)).alias("m1"), F.sum(F.when(up, F.col("n")).otherwise(0)).alias("n1"),
         F.sum(F.when(~up, mass).otherwise(0.0)).alias("m0"), F.sum(F.when(~up, F.col("n")).otherwise(0)).alias("n0"),
     ).filter("n1 > 0 and n0 > 0 and m1 > 0 and m0 > 0")
     cost = -(F.col("m1") * F.log(F.col("m1") / F.col("n1"))) - F.col("m0") * F.log(F.col("m0") / F.col("n0"))
-    return sums.withColumn("cost", cost).groupBy(*keys).agg(F.min_by("t", F.struct("cost", "k")).alias("threshold"))
+    return sums.withColumn("cost", cost).groupBy(*keys).agg(F.min_by("_t", F.struct("cost", "_k")).alias("threshold"))

@@ -134,8 +134,8 @@ def test_planted_topics_and_choice(spark):
 def test_imputation_blocks_and_binarization(spark):
     tr = spark.createDataFrame([(f"r{i}", t, (i + t) / 50) for i in range(9) for t in (1, 2)], "region_id string, topic int, p double")
     ct = spark.createDataFrame([(c, t, (c + t) / 20) for c in range(5) for t in (1, 2)], "cell_id long, topic int, p double")
-    long = {(x.region_id, x.cell_id): x.value for x in diff.imputed(tr, ct, 1000).collect()}
-    for x in diff.imputed_blocks(tr, ct, 1000).collect():
+    long = {(x.region_id, x.cell_id): x.value for x in diff.imputed(tr, ct, 1013).collect()}
+    for x in diff.imputed_blocks(tr, ct, 1013).collect():
         assert list(x["values"]) == [long.get((x.region_id, c), 0) for c in range(5)]
     with pytest.raises(ValueError):
         diff.imputed_blocks(tr, ct, most_cells=2)
