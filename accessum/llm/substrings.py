@@ -18,14 +18,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import parallelism, stage
+from ._util import parallelism, slices, stage
 
 SPAN, SEED = 100, 40
 SLICE_BITS = 19
-FLUSH, BUCKETS_A_PARTITION = 1_000_000, 4
+FLUSH, BUCKETS_A_PARTITION, ROWS_OUT = 300_000, 4, 5_000
 #: Sample that finds much-used trigger texts: rows, and occurrences in it from which one counts as such.
 SAMPLE_ROWS, MUCH_USED = 20_000, 64
 _U = np.uint64
@@ -227,11 +228,12 @@ def _parse(buckets: int, much_used: np.ndarray):
 
         for batch in batches:
             doc = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            row, texts = batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            h, c, text, lo, n = _parsed(texts, much_used)
-            kept.append([h, c, doc[text], row[text], lo, n])
-            if sum(len(k[0]) for k in kept) > FLUSH:
-                yield from flush()
+            row = batch.column(1).to_numpy()
+            for i, j in slices(pa.compute.binary_length(batch.column(2)).to_pylist(), 4 << 20):
+                h, c, text, lo, n = _parsed(batch.column(2).slice(i, j - i).to_pylist(), much_used)
+                kept.append([h, c, doc[i:j][text], row[i:j][text], lo, n])
+                if sum(len(k[0]) for k in kept) > FLUSH:
+                    yield from flush()
         if kept:
             yield from flush()
 
@@ -275,16 +277,24 @@ def _settle(buckets: int):
 
 def _look_up(batches):
     """What rows ask for: h, document, row, place and text of a phrase."""
+    kinds, out = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), []
+
+    def found():
+        columns = list(zip(*out))
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "doc_id", "row_id", "lo", "body"])
+
     for batch in batches:
-        out = []
-        for doc, row, text, asks in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for at in range(batch.num_rows):
+            doc, row, text, asks = (batch.column(i)[at].as_py() for i in range(4))
             for body in asks:
                 k = len(body) // 16
                 hs, los, ns = np.frombuffer(body, np.int64, k), np.frombuffer(body, np.int32, k, 8 * k), np.frombuffer(body, np.int32, k, 12 * k)
                 out += [(h, doc, row, lo, text[lo : lo + n - 1 + SPAN]) for h, lo, n in zip(hs.tolist(), los.tolist(), ns.tolist())]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        for i in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 20_000]), kinds)], ["h", "doc_id", "row_id", "lo", "body"])
+            if len(out) >= ROWS_OUT:
+                yield found()
+    if out:
+        yield found()
 
 
 def _sort_strings(batches):
@@ -332,18 +342,21 @@ def _tail(h: np.ndarray) -> int:
 
 def _cut_out(batches):
     names = ["doc_id", "row_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
     for batch in batches:
         out = []
-        for doc, row, text, bodies in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for at in range(batch.num_rows):
+            doc, row, text, bodies = (batch.column(i)[at].as_py() for i in range(4))
             spans = merged(np.concatenate([np.frombuffer(b, np.int32).reshape(-1, 2) for b in bodies]).astype(np.int64)) if bodies else []
-            kept, at = hashlib.sha256(), 0
+            kept, end = hashlib.sha256(), 0
             for a, b in spans:
-                kept.update(text[at:a])
-                at = b
-            kept.update(text[at:])
+                kept.update(text[end:a])
+                end = b
+            kept.update(text[end:])
             out.append((doc, row, len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [x for s in spans for x in s]))
-        kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], names)
+            if len(out) >= ROWS_OUT or at + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                out = []
 
 
 def merged(runs: np.ndarray) -> list[tuple[int, int]]:
