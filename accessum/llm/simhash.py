@@ -22,7 +22,11 @@ from .components import components
 
 WORDS, SEED, MOST_DIFFERENT, BITS, BLOCKS = 3, 42, 2, 64, 4
 MOST_IN_NODE, LEAF, SMALL = 4096, 32, 8
-_PAIRS = list(combinations(range(BLOCKS), 2))
+#: For similarity: words, Jaccard similarity, deviations above the mean of differing bits that still count, the lanes
+#: candidates are sought by and those they are checked by, the blocks of a lane, and how many of them must agree (more
+#: where nodes are crowded).
+SIMILAR_WORDS, SIMILARITY, SLACK, FINE_BLOCKS, FRONTS = 5, 0.8, 1.5, 8, (2, 3, 4)
+SOUGHT, CHECKED = ("fp", "fp_more"), ("wide_0", "wide_1", "wide_2", "wide_3")
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
@@ -38,14 +42,28 @@ def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
     return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
 
 
-def fingerprints_of(texts: list[bytes], words: int = WORDS) -> np.ndarray:
-    """One uint64 a text: bit i is 1 where over half the text's shingle hashes have it; no word: 0."""
-    hashes = [shingle_hashes(t, words) for t in texts]
+def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes as they are for lane 0, else as independent ones."""
+    if not lane:
+        return hashes
+    x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * lane) + np.uint64(lane)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def fingerprints_of(texts: list[bytes], lanes: tuple[tuple[int, int], ...] = ((WORDS, 0),)) -> np.ndarray:
+    """A uint64 for each text and lane (words of a shingle, number): bit i is 1 where over half the text's shingle hashes
+    have it; no word: 0."""
+    hashes = {w: [shingle_hashes(t, w) for t in texts] for w in {w for w, _ in lanes}}
+    return np.stack([_majorities(hashes[w], number) for w, number in lanes], 1)
+
+
+def _majorities(hashes: list[list[int]], lane: int) -> np.ndarray:
     counts = np.array([len(h) for h in hashes])
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        flat = np.concatenate([np.array(hashes[i], np.uint64) for i in some])
+        flat = remixed(np.concatenate([np.array(hashes[i], np.uint64) for i in some]), lane)
         starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
         ones = np.zeros((len(some), BITS), np.int64)
         for at in range(0, len(some), 256):  # bits of a few texts at a time
@@ -62,20 +80,20 @@ def fingerprints_of(texts: list[bytes], words: int = WORDS) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_id (the row's place in docs), fp long (the fingerprint's 64 bits, signed). Null text: as empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, lanes: dict[str, tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row_id (the row's place in docs), and a long for each lane: its 64 bits, signed. Null text: as empty."""
+    kind, names, wanted = docs.schema[id_col].dataType.simpleString(), list(lanes), tuple(lanes.values())
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            parts = [fingerprints_of(texts[i:j], words) for i, j in slices([len(t) for t in texts], 1 << 20)]
-            fps = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["key", "fp"])
+            parts = [fingerprints_of(texts[i:j], wanted) for i, j in slices([len(t) for t in texts], 1 << 20)]
+            fps = np.concatenate(parts).view(np.int64) if parts else np.empty((0, len(names)), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(names)))], ["key", *names])
 
     key = F.struct(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"))
     texts = docs.select(key.alias("key"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("body"))
-    return texts.mapInArrow(run, f"key struct<doc_id:{kind},row_id:bigint>, fp bigint").select("key.*", "fp")
+    return texts.mapInArrow(run, f"key struct<doc_id:{kind},row_id:bigint>, " + ", ".join(f"{n} bigint" for n in names)).select("key.*", *names)
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -85,38 +103,62 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
     return code
 
 
-def _placed(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each fingerprint and pair of blocks: the node (which pair, and the pattern of its rank's front), the
-    fingerprint, and the Gray rank of its bits with the pair moved to the front."""
-    width = BITS // BLOCKS
+def _placed(fp: np.ndarray, blocks: int = BLOCKS, front: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each choice of `front` of the blocks, and each fingerprint: the node (which blocks, and the pattern of its
+    rank's front), the fingerprint's place in fp, and the Gray rank of its bits with those blocks moved to the front."""
+    width = BITS // blocks
     nodes, ranks = [], []
-    blocks = [fp >> np.uint64(BITS - width * (b + 1)) & np.uint64((1 << width) - 1) for b in range(BLOCKS)]
-    for i, pair in enumerate(_PAIRS):
+    parts = [fp >> np.uint64(BITS - width * (b + 1)) & np.uint64((1 << width) - 1) for b in range(blocks)]
+    for i, chosen in enumerate(combinations(range(blocks), front)):
         moved = np.zeros_like(fp)
-        for block in (*pair, *(b for b in range(BLOCKS) if b not in pair)):
-            moved = moved << np.uint64(width) | blocks[block]
+        for block in (*chosen, *(b for b in range(blocks) if b not in chosen)):
+            moved = moved << np.uint64(width) | parts[block]
         ranks.append(gray_rank(moved))
-        nodes.append(np.uint64(i << 2 * width) | ranks[-1] >> np.uint64(2 * width))
-    return np.concatenate(nodes), np.tile(fp, len(_PAIRS)), np.concatenate(ranks)
+        nodes.append(np.uint64(i << width * front) | ranks[-1] >> np.uint64(BITS - width * front))
+    return np.concatenate(nodes), np.tile(np.arange(len(fp)), len(ranks)), np.concatenate(ranks)
 
 
 def _place(batches):
+    """node, rank, fp: where each fingerprint stands for each pair of blocks."""
     for batch in batches:
-        columns = _placed(batch.column(0).to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["node", "fp", "rank"])
+        fp = batch.column(0).to_numpy().view(np.uint64)
+        node, at, rank = _placed(fp)
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (node, rank, fp[at])], ["node", "rank", "fp"])
 
 
-def _tree_links(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, smallest-placed member tied to it) over fingerprints v in Gray order: a forest of links of at most `most` bits.
+def _place_similar(front: int):
+    """node, fp and CHECKED lanes: where the fingerprints of both SOUGHT lanes stand for each choice of fine blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for lane in range(len(SOUGHT)):
+                node, at, _ = _placed(batch.column(lane).to_numpy().view(np.uint64), FINE_BLOCKS, front)
+                kept = [batch.column(i).take(pa.array(at)) for i in (0, *range(len(SOUGHT), batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([pa.array((node ^ np.uint64(lane << 62)).view(np.int64)), *kept], ["node", "fp", *CHECKED])
+
+    return run
+
+
+def _near(v: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, most_checked: int) -> np.ndarray:
+    """Whether fingerprints i and j differ in `most` bits of the first lane and most_checked bits of the others at most."""
+    first = np.bitwise_count(v[i, 0] ^ v[j, 0]) <= most
+    if v.shape[1] > 1:
+        at = np.flatnonzero(first)
+        first[at] = np.bitwise_count(v[i[at], 1:] ^ v[j[at], 1:]).sum(1, dtype=np.int64) <= most_checked
+    return first
+
+
+def _tree_links(v: np.ndarray, most: int, most_checked: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(member, smallest-placed member tied to it) over fingerprints v (rows of lanes) in Gray order of the first lane: a
+    forest of links.
 
     From the root down, pairs of runs are kept while the bits that each run's members share differ in `most` places at
     most; what is left at the leaves is compared one by one.
     """
     n = len(v)
     size = LEAF * (1 << max(0, -(-n // LEAF) - 1).bit_length())
-    full = np.concatenate([v, np.full(size - n, v[-1], v.dtype)])
-    ands, ors = [full.reshape(-1, LEAF)], [full.reshape(-1, LEAF)]
-    ands, ors = [np.bitwise_and.reduce(ands[0], 1)], [np.bitwise_or.reduce(ors[0], 1)]
+    full = np.concatenate([v, np.repeat(v[-1:], size - n, 0)])
+    ands, ors = [np.bitwise_and.reduce(full[:, 0].reshape(-1, LEAF), 1)], [np.bitwise_or.reduce(full[:, 0].reshape(-1, LEAF), 1)]
     while len(ands[-1]) > 1:
         ands.append(ands[-1][::2] & ands[-1][1::2])
         ors.append(ors[-1][::2] | ors[-1][1::2])
@@ -130,10 +172,13 @@ def _tree_links(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = a[apart <= most], b[apart <= most]
     root = np.arange(n)
     inside = np.arange(LEAF)
-    for at in range(0, len(a), 256):
-        i = (a[at : at + 256, None, None] * LEAF + inside[:, None]).repeat(LEAF, 2)
-        j = (b[at : at + 256, None, None] * LEAF + inside[None, :]).repeat(LEAF, 1)
-        near = (np.bitwise_count(full[i] ^ full[j]) <= most) & (i < j) & (j < n)
+    for at in range(0, len(a), 64):
+        i = a[at : at + 64, None, None] * LEAF + inside[:, None]
+        j = b[at : at + 64, None, None] * LEAF + inside[None, :]
+        i, j = np.broadcast_arrays(i, j)
+        near = (i < j) & (j < n)
+        i, j = i[near], j[near]
+        near = _near(full, i, j, most, most_checked)
         _tie(root, i[near], j[near])
     tied = np.flatnonzero(root != np.arange(n))
     return tied, root[tied]
@@ -152,8 +197,15 @@ def _tie(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def _node_links(batches, most: int = MOST_DIFFERENT):
-    """Links within upper nodes; rows come sorted by node and Gray rank, and a node may span batches."""
+def _node_links(most: int = MOST_DIFFERENT, most_checked: int = 0, most_in_node: int = MOST_IN_NODE):
+    """Links (u, v) within upper nodes; rows (node, lanes) come sorted by node, and a node may span batches.
+
+    Fingerprints of nodes above most_in_node come out unlinked, with v null; such a node is never held whole.
+    """
+
+    def out(u: np.ndarray, v: np.ndarray | None):
+        ends = pa.nulls(len(u), pa.int64()) if v is None else pa.array(np.ascontiguousarray(v).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u).view(np.int64)), ends], ["u", "v"])
 
     def links(node: np.ndarray, v: np.ndarray):
         edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
@@ -161,27 +213,49 @@ def _node_links(batches, most: int = MOST_DIFFERENT):
         left, right = [], []
         small = np.repeat(sizes <= SMALL, sizes)
         for d in range(1, SMALL):
-            ok = np.flatnonzero((node[d:] == node[:-d]) & small[d:] & (np.bitwise_count(v[d:] ^ v[:-d]) <= most))
-            left.append(v[ok])
-            right.append(v[ok + d])
+            i = np.flatnonzero((node[d:] == node[:-d]) & small[d:])
+            i = i[_near(v, i, i + d, most, most_checked)]
+            left.append(v[i, 0])
+            right.append(v[i + d, 0])
         for a, n in zip(edges[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            i, j = _tree_links(v[a : a + n], most)
-            left.append(v[a : a + n][i])
-            right.append(v[a : a + n][j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], ["u", "v"])
+            part = v[a : a + n]
+            if n > most_in_node:
+                yield out(part[:, 0], None)
+                continue
+            part = part[np.argsort(gray_rank(part[:, 0]), kind="stable")]
+            i, j = _tree_links(part, most, most_checked)
+            left.append(part[i, 0])
+            right.append(part[j, 0])
+        found = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+        yield out(found[:, 0], found[:, 1])
 
-    node_rest, v_rest = np.empty(0, np.int64), np.empty(0, np.uint64)
-    for batch in batches:
-        if batch.num_rows:
-            node = np.concatenate([node_rest, batch.column(0).to_numpy()])
-            v = np.concatenate([v_rest, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(node != node[-1], False)) if node[0] == node[-1] else len(node) - int(np.argmax(node[::-1] != node[-1]))
-            if cut and node[0] != node[-1]:
-                yield links(node[:cut], v[:cut])
-                node, v = node[cut:], v[cut:]
-            node_rest, v_rest = node, v
-    if len(node_rest):
-        yield links(node_rest, v_rest)
+    def run(batches):
+        rest, crowded = None, None
+        for batch in batches:
+            if batch.num_rows:
+                node = batch.column(0).to_numpy()
+                v = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], 1)
+                if crowded is not None:  # the rest of a node that has been given up
+                    n = int(np.argmax(node != crowded)) if (node != crowded).any() else len(node)
+                    yield out(v[:n, 0], None)
+                    node, v = node[n:], v[n:]
+                    if not len(node):
+                        continue
+                    crowded = None
+                if rest:
+                    node, v = np.concatenate([rest[0], node]), np.concatenate([rest[1], v])
+                other = np.flatnonzero(node[::-1] != node[-1])
+                cut = len(node) - int(other[0]) if len(other) else 0
+                if cut:
+                    yield from links(node[:cut], v[:cut])
+                rest = node[cut:], v[cut:]
+                if len(rest[0]) > most_in_node:
+                    yield out(rest[1][:, 0], None)
+                    rest, crowded = None, node[-1]
+        if rest and len(rest[0]):
+            yield from links(*rest)
+
+    return run
 
 
 def near_links(fps: DataFrame, most_in_node: int = MOST_IN_NODE) -> DataFrame:
@@ -190,12 +264,12 @@ def near_links(fps: DataFrame, most_in_node: int = MOST_IN_NODE) -> DataFrame:
     Every link joins two such fingerprints; a chain of links joins any two of them.
     """
     width = 2 * (BITS // BLOCKS)
-    placed = fps.select("fp").mapInArrow(_place, "node bigint, fp bigint, rank bigint")
+    placed = fps.select("fp").mapInArrow(_place, "node bigint, rank bigint, fp bigint")
     sizes = placed.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("node", "of")
     shared = stage(placed.join(sizes, F.col("node") == F.col("of")).drop("of"), "nodes")
     # ranks of one node share their front, so its sign doesn't disturb their order
     small = shared.filter(F.col("n") <= most_in_node).repartition("node").sortWithinPartitions("node", "rank")
-    in_tree = small.select("node", "fp").mapInArrow(_node_links, "u bigint, v bigint")
+    in_tree = small.select("node", "fp").mapInArrow(_node_links(most_in_node=most_in_node), "u bigint, v bigint")
     behind = F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", 1)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
     balls = shared.filter(F.col("n") > most_in_node).select("node", "fp", F.explode(flips).alias("flip"), behind.alias("behind")).select("node", "fp", F.col("behind").bitwiseXOR(F.col("flip")).alias("ball"))
@@ -204,6 +278,44 @@ def near_links(fps: DataFrame, most_in_node: int = MOST_IN_NODE) -> DataFrame:
     return in_tree.unionByName(in_ball)
 
 
+def similar_links(fps: DataFrame, most: int, most_checked: int, most_in_node: int = MOST_IN_NODE) -> DataFrame:
+    """u, v: links of fingerprints (SOUGHT and CHECKED lanes; the first one stands for the row, and is not repeated) that
+    differ in `most` bits of the first lane and most_checked bits of the CHECKED ones at most, as far as they meet.
+
+    All that agree in two of FINE_BLOCKS blocks of a SOUGHT lane are compared. Fingerprints of nodes above most_in_node
+    are compared where they agree in three, and then in four. Each level is staged.
+    """
+    left, found = fps.select(*SOUGHT, *CHECKED), None
+    for front in FRONTS:
+        placed = left.mapInArrow(_place_similar(front), ", ".join(f"{n} bigint" for n in ("node", "fp", *CHECKED)))
+        dealt = placed.repartition("node").sortWithinPartitions("node")
+        out = stage(dealt.mapInArrow(_node_links(most, most_checked, most_in_node), "u bigint, v bigint"), "similar")
+        links = out.filter("v is not null")
+        found = links if found is None else found.unionByName(links)
+        crowded = out.filter("v is null")
+        if crowded.isEmpty():
+            break
+        left = left.join(crowded.select(F.col("u").alias("crowded")).distinct(), F.col("fp") == F.col("crowded"), "left_semi")
+    return found
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, row_id, fingerprint, component_id, first: as near_groups(), with texts linked by similarity too.
+
+    Texts are linked whose CHECKED fingerprints, of shingles of `words` words, differ in no more bits than texts of the
+    given Jaccard similarity do on average, and SLACK deviations more: sets of similarity s differ in
+    arccos(2 s / (1 + s)) / pi of the bits. So similarity is estimated, within some 0.04. Candidates agree in two
+    blocks of a SOUGHT lane, of WORDS words, which fewer edits reach. Links of near_links() are among the result.
+    Nulls, ties and repeated rows: as in near_groups().
+    """
+    n, share = len(CHECKED) * BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most_checked = int(n * share + SLACK * np.sqrt(n * share * (1 - share)))
+    lanes = {name: (WORDS, i) for i, name in enumerate(SOUGHT)} | {name: (words, i) for i, name in enumerate(CHECKED)}
+    rows = stage(fingerprints(docs, lanes, id_col, text_col), "fingerprints")
+    fps = stage(rows.groupBy("fp").agg(*[F.min(c).alias(c) for c in (*SOUGHT[1:], *CHECKED)]), "classes")  # 64 equal bits: one class
+    return _named(rows, similar_links(fps, BITS // 4, most_checked).unionByName(near_links(fps)))
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, row_id, fingerprint (16 hexadecimal digits), component_id, first (the row that stands for its group).
 
@@ -212,9 +324,14 @@ def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", tex
     Null ids are never the smallest unless a group has no other (component_id null then). first is true for one row of
     each group: the one of the smallest id, and of these the first in the table. Empty table: no rows.
     """
-    rows = stage(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    rows = stage(fingerprints(docs, {"fp": (words, 0)}, id_col, text_col), "fingerprints")
+    return _named(rows, near_links(rows.select("fp").distinct()))
+
+
+def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (doc_id, row_id, fp) with the component that the links of their fingerprints give them."""
     classes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("least"))
-    roots = components(near_links(classes.select("fp")))
+    roots = components(links)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("head")).withColumnRenamed("root", "of")
     named = stage(rooted.join(heads, F.col("root") == F.col("of")).select(F.col("fp").alias("same"), "head"), "named")
@@ -224,10 +341,10 @@ def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", tex
     )
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near_groups(); all columns stay.
+def drop_near_copies(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of similar_groups(); all columns stay.
 
     docs must give the same rows in the same partitions each time it is read, as a table does.
     """
-    gone = near_groups(docs, words, id_col, text_col).filter(~F.col("first")).select(F.col("row_id").alias(free_name("_gone", docs)))
+    gone = similar_groups(docs, words, similarity, id_col, text_col).filter(~F.col("first")).select(F.col("row_id").alias(free_name("_gone", docs)))
     return without_rows(docs, gone)

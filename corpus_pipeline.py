@@ -28,7 +28,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by their SimHash fingerprints, the row with the smallest id."""
+    """Of texts linked by their SimHash fingerprints, within 2 bits or by a similarity of 0.8 on five-word shingles, the
+    row with the smallest id."""
     return simhash.drop_near_copies(docs)
 
 

@@ -81,8 +81,8 @@ def test_near_groups(name, request):
     want = sorted(((i, format(f, "016x"), least[k]) for (i, f), k in zip(rows, root)), key=repr)
     got = simhash.near_groups(docs)
     assert sorted(map(tuple, got.select("doc_id", "fingerprint", "component_id").collect()), key=repr) == want
-    left = simhash.drop_near_copies(docs)
-    assert left.columns == docs.columns and left.count() == len(least)
+    wider = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect() if r.doc_id is not None}
+    assert all(wider[i] == wider[least[k]] for (i, _), k in zip(rows, root) if i is not None and least[k] is not None)
 
 
 @pytest.mark.parametrize("most", [4096, 16, 2])
@@ -106,6 +106,48 @@ def test_links_of_dense_neighbourhoods(spark, most):
     assert set(found.groupby("root")["node"].apply(frozenset)) == want
 
 
+def jaccard(a, b):
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def near_copies(seed, copies):
+    """Texts of 60 to 500 words, each with copies of which a few words differ, and others of their own."""
+    r = np.random.default_rng(seed)
+    word = lambda: "".join(r.choice(list("abcdefgh"), r.integers(2, 9)))
+    texts = []
+    for _ in range(30):
+        w = [word() for _ in range(r.integers(60, 500))]
+        texts.append((len(texts), " ".join(w), None))
+        for _ in range(copies):
+            v = list(w)
+            for i in r.choice(len(v), max(1, int(len(v) * r.choice([0.005, 0.01, 0.015, 0.06]))), replace=False):
+                v[i] = word()
+            texts.append((len(texts), " ".join(v), texts[-1][0] if texts[-1][2] is None else texts[-1][2]))
+    return texts
+
+
+@pytest.mark.parametrize(("most", "copies"), [(4096, 3), (8, 12)])
+def test_similar_texts(spark, tmp_path, monkeypatch, most, copies):
+    """Copies of similarity 0.85 or more are found; texts below 0.6 to all of a group aren't in it; crowded nodes go on."""
+    texts = near_copies(most, copies)
+    spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    found = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda *a: found(*a, most))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    pairs = [(i, o, jaccard(t, texts[o][1])) for i, t, o in texts if o is not None]
+    close = [group[i] == group[o] for i, o, s in pairs if s >= 0.85]
+    assert len(close) > 20 and sum(close) >= 0.95 * len(close)
+    for k in set(group.values()):
+        members = [i for i in group if group[i] == k]
+        assert len({texts[i][2] if texts[i][2] is not None else i for i in members}) == 1
+    far = [group[i] == group[o] for i, o, s in pairs if s < 0.55]
+    assert sum(far) <= 0.1 * len(far) if most == 4096 else True
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(group.values())
+
+
 def test_gray_rank_orders_neighbours():
     n = 1 << 10
     place = simhash.gray_rank(np.arange(n, dtype=np.uint64)).astype(int)
