@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
@@ -45,10 +45,36 @@ def sample_profile(cuts: DataFrame, **options) -> DataFrame:
     return profile(together, keys=("all",), **options).drop("all")
 
 
-def enrichment(cuts: DataFrame, centre: int = CENTRE, **options) -> DataFrame:
-    """cb, tss_enrichment: mean normalised signal from -centre to centre."""
-    near = profile(cuts, **options).filter(F.col("position").between(-centre, centre))
-    return near.groupBy("cb").agg(F.avg("normalised").alias("tss_enrichment"))
+def _reach(position: Column, first: int, last: int, smooth: int, flank: int) -> Column:
+    """What one cut at `position` adds to the sum of smoothed values over places first to last.
+
+    A cut counts at its own place and the smooth - 1 after it, each time divided by the length of the mean there, which
+    is shorter at the start. With W(k) the sum of 1 / min(i, smooth) over i up to k, that is a difference of two W.
+    """
+    harmonic = [0.0]
+    for k in range(1, smooth + 1):
+        harmonic.append(harmonic[-1] + 1 / k)
+
+    def w(place: Column) -> Column:
+        k = F.greatest(place + flank + 1, F.lit(0))
+        return F.element_at(F.array(*map(F.lit, harmonic)), (F.least(k, F.lit(smooth)) + 1).cast("int")) + F.greatest(k - smooth, F.lit(0)) / smooth
+
+    low, high = F.greatest(position, F.lit(first)), F.least(position + smooth - 1, F.lit(last))
+    return F.when(low <= high, w(high) - w(low - 1)).otherwise(0.0)
+
+
+def enrichment(cuts: DataFrame, centre: int = CENTRE, flank: int = FLANK, smooth: int = SMOOTH, ends: int = ENDS, least: float = LEAST_NORM) -> DataFrame:
+    """cb, tss_enrichment: mean normalised signal from -centre to centre, the same as from profile().
+
+    Means of smoothed values are weighted sums of cuts, so places without cuts are never made.
+    """
+    n, at = F.col("n"), F.col("position")
+    sums = cuts.groupBy("cb").agg(
+        F.sum(n * _reach(at, -flank, -flank + ends - 1, smooth, flank)).alias("_head"), F.sum(n * _reach(at, flank - ends + 1, flank, smooth, flank)).alias("_tail"),
+        F.sum(n * _reach(at, -centre, centre, smooth, flank)).alias("_mid"),
+    )
+    level = F.greatest((F.col("_head") + F.col("_tail")) / (2 * ends), F.lit(least))
+    return sums.select("cb", (F.col("_mid") / (2 * centre + 1) / level).alias("tss_enrichment"))
 
 
 def cut_matrix(fragments: DataFrame, tss: DataFrame, flank: int = FLANK) -> DataFrame:

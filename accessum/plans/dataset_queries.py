@@ -28,6 +28,25 @@ def region_stats_min_cell(v: Views) -> DataFrame:
     return rounded(dataset.region_stats(v.counts).filter("nr_acc >= 20"), "log10_nr_frag", "log10_nr_acc")
 
 
+@query("counts", "SELECT DISTINCT region_id FROM counts WHERE n <> 0")
+def nonzero_regions(v: Views) -> DataFrame:
+    return dataset.binary(v.counts).select("region_id").distinct()
+
+
+@query("counts", "SELECT cell_id, sum(n)::BIGINT AS nr_frag FROM counts GROUP BY 1 HAVING sum(n) >= 45")
+def cells_min_fragments(v: Views) -> DataFrame:
+    return dataset.cell_stats(v.counts).filter("nr_frag >= 45").select("cell_id", "nr_frag")
+
+
+@query("fragments regions", """+m AS (SELECT cb, (count(*) >= 60)::INTEGER AS ok FROM fragments GROUP BY 1), f AS (SELECT chrom, lo, hi, cb FROM fragments WHERE cb IN (SELECT cb FROM m WHERE ok = 1) GROUP BY ALL)
+    SELECT a.cb || '___p' AS cell_id, count(*) AS nr_acc FROM (SELECT DISTINCT f.cb, b.chrom, b.lo, b.hi FROM f JOIN regions b ON f.chrom = b.chrom AND f.lo < b.hi AND b.lo < f.hi) a GROUP BY 1""")
+def cells_with_metrics(v: Views) -> DataFrame:
+    """A dataset of the barcodes that a metrics table marks as cells."""
+    metrics = v.fragments.groupBy("cb").agg((F.count("*") >= 60).cast("int").alias("is__cell_barcode"))
+    d = dataset.Dataset.from_fragments(v.fragments, v.regions.select("chrom", "lo", "hi").distinct(), metrics, project="p")
+    return d.cells.select("cell_id", "nr_acc")
+
+
 @query("counts", "+o AS (SELECT DISTINCT region_id FROM counts WHERE n >= 2) SELECT " + _OF.format(key="cell_id", acc=2) + " FROM counts SEMI JOIN o USING (region_id) GROUP BY cell_id")
 def cell_stats_two_fragments(v: Views) -> DataFrame:
     return rounded(dataset.cell_stats(v.counts, 2), "log10_nr_frag", "log10_nr_acc")

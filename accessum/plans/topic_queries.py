@@ -140,6 +140,12 @@ def impute_accessibility(v: Views) -> DataFrame:
     return rounded(diff.imputed(v.topic_region, v.cell_topic, 1_000_000.0), "value", digits=4)
 
 
+@query("counts", "SELECT project, count(DISTINCT region_id) AS regions, sum(n)::BIGINT AS total FROM (SELECT 0::INTEGER AS project, * FROM counts UNION ALL SELECT 1, * FROM counts) GROUP BY project")
+def feature_matrix_merge(v: Views) -> DataFrame:
+    values = v.counts.withColumnRenamed("n", "value")
+    return diff.merged_values(values, values).groupBy("project").agg(F.count_distinct("region_id").alias("regions"), F.sum("value").alias("total"))
+
+
 @query("topic_region cell_topic", f"{_IMPUTED} SELECT region_id, round(sum(x), 3) AS total FROM i GROUP BY 1")
 def impute_blocks(v: Views) -> DataFrame:
     out = diff.imputed_blocks(v.topic_region, v.cell_topic, 1_000_000.0)
@@ -180,6 +186,22 @@ def topic_zscores(v: Views) -> DataFrame:
     return v.cell_topic.select("cell_id", "topic", F.round(stats.z_score("p", ["cell_id"]), 6).alias("z"))
 
 
+@query("cell_topic", f"""{_Z10}, k AS (SELECT least(cell_id, neighbour) AS a, greatest(cell_id, neighbour) AS b, row_number() OVER (PARTITION BY cell_id ORDER BY distance, neighbour) AS i FROM d),
+    r AS (SELECT m1.cell_id, m2.cell_id AS neighbour, sqrt(sum((m1.p - m2.p) ^ 2)) AS distance FROM cell_topic m1 JOIN cell_topic m2 ON m1.topic = m2.topic AND m1.cell_id <> m2.cell_id GROUP BY ALL),
+    q AS (SELECT least(cell_id, neighbour) AS a, greatest(cell_id, neighbour) AS b, row_number() OVER (PARTITION BY cell_id ORDER BY distance, neighbour) AS i FROM r)
+    SELECT DISTINCT a, b FROM k SEMI JOIN (SELECT a, b FROM q WHERE i <= 8) USING (a, b) WHERE i <= 8""")
+def shared_knn_edges(v: Views) -> DataFrame:
+    """Edges that two neighbour graphs of the same cells share: of standardised and of plain topics."""
+    plain = v.cell_topic.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "p"))), lambda s: s["p"]).alias("x"))
+    return embed.shared_edges(embed.edges(embed.knn(embed.scaled_vectors(v.cell_topic), 8)), embed.edges(embed.knn(plain, 8)))
+
+
+@query("cell_topic", "SELECT label, (topic - 1)::INTEGER AS dimension, round(avg(p), 6) AS centre FROM cell_topic GROUP BY ALL")
+def label_centres(v: Views) -> DataFrame:
+    x = F.transform(F.array_sort(F.collect_list(F.struct("topic", "p"))), lambda s: s["p"]).alias("x")
+    return rounded(embed.label_centres(v.cell_topic.groupBy("cell_id", "label").agg(x), "label"), "centre")
+
+
 @query()
 def communities(v: Views) -> DataFrame:
     return embed.communities(embed.edges(embed.knn(embed.scaled_vectors(v.cell_topic), 10)))
