@@ -170,16 +170,21 @@ def _tree_links(v: np.ndarray, most: int, most_checked: int = 0) -> tuple[np.nda
         shared = ~(ands[level] ^ ors[level])
         apart = np.bitwise_count((ands[level][a] ^ ands[level][b]) & shared[a] & shared[b])
         a, b = a[apart <= most], b[apart <= most]
-    root = np.arange(n)
+    root = np.arange(size)
     inside = np.arange(LEAF)
+    order = np.argsort(b - a, kind="stable")  # runs with themselves first, then with their neighbours
     for at in range(0, len(a), 64):
-        i = a[at : at + 64, None, None] * LEAF + inside[:, None]
-        j = b[at : at + 64, None, None] * LEAF + inside[None, :]
+        i, j = a[order[at : at + 64]], b[order[at : at + 64]]
+        runs = root.reshape(-1, LEAF)
+        low, high = runs.min(1), runs.max(1)
+        apart = (low[i] != high[j]) | (high[i] != low[j])  # else all of both are tied already
+        i, j = i[apart, None, None] * LEAF + inside[:, None], j[apart, None, None] * LEAF + inside[None, :]
         i, j = np.broadcast_arrays(i, j)
-        near = (i < j) & (j < n)
-        i, j = i[near], j[near]
+        open_ = (i < j) & (j < n) & (root[i] != root[j])
+        i, j = i[open_], j[open_]
         near = _near(full, i, j, most, most_checked)
         _tie(root, i[near], j[near])
+    root = root[:n]
     tied = np.flatnonzero(root != np.arange(n))
     return tied, root[tied]
 
@@ -334,6 +339,7 @@ def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("head")).withColumnRenamed("root", "of")
+    heads = stage(heads, "heads")  # a join with a table can be split where one group is large
     named = stage(rooted.join(heads, F.col("root") == F.col("of")).select(F.col("fp").alias("same"), "head"), "named")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, F.col("fp") == F.col("same")).select(
