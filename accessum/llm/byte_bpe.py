@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._util import arrow_map, slices
 
-CACHE = 400_000
+CACHE = 250_000
 UNKNOWN = "⁇"
 
 

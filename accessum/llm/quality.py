@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,7 +226,9 @@ def keep_good(docs: DataFrame, model: ByteConvNet, text_col: str = "text", thres
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [(t or "").encode("utf-8") for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(model.score(texts) >= threshold))
+            for i, j in slices(pa.compute.binary_length(batch.column(at)).fill_null(0).to_pylist(), 4 << 20):
+                part = batch.slice(i, j - i)
+                texts = [(t or "").encode("utf-8") for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(model.score(texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
