@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,10 @@ from .components import components
 
 WORDS, SEED, MOST_DIFFERENT, BITS, BLOCKS = 3, 42, 2, 64, 4
 MOST_IN_NODE, LEAF, SMALL = 4096, 32, 8
-#: For similarity: words, Jaccard similarity, deviations above the mean of differing bits that still count, the lanes
-#: candidates are sought by and those they are checked by, the blocks of a lane, and how many of them must agree (more
-#: where nodes are crowded).
-SIMILAR_WORDS, SIMILARITY, SLACK, FINE_BLOCKS, FRONTS = 5, 0.8, 1.5, 8, (2, 3, 4)
+#: For similarity: words, Jaccard similarity, deviations above the mean of differing bits that still make a candidate,
+#: the blocks of a lane, how many of them must agree, fingerprints tied together in a node up to which all their pairs
+#: are candidates at once, and the lanes candidates are sought by and those they are picked by.
+SIMILAR_WORDS, SIMILARITY, SLACK, FINE_BLOCKS, FRONT, TIED_AT_ONCE = 5, 0.8, 1.5, 8, 2, 32
 SOUGHT, CHECKED = ("fp", "fp_more"), ("wide_0", "wide_1", "wide_2", "wide_3")
 
 
@@ -53,8 +54,8 @@ def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
 
 def fingerprints_of(texts: list[bytes], lanes: tuple[tuple[int, int], ...] = ((WORDS, 0),)) -> np.ndarray:
     """A uint64 for each text and lane (words of a shingle, number): bit i is 1 where over half the text's shingle hashes
-    have it; no word: 0."""
-    hashes = {w: [shingle_hashes(t, w) for t in texts] for w in {w for w, _ in lanes}}
+    have it; no word: 0. A lane of 0 words is the hash of all words."""
+    hashes = {w: [shingle_hashes(t, w or len(t)) for t in texts] for w in {w for w, _ in lanes}}
     return np.stack([_majorities(hashes[w], number) for w, number in lanes], 1)
 
 
@@ -126,17 +127,13 @@ def _place(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (node, rank, fp[at])], ["node", "rank", "fp"])
 
 
-def _place_similar(front: int):
-    """node, fp and CHECKED lanes: where the fingerprints of both SOUGHT lanes stand for each choice of fine blocks."""
-
-    def run(batches):
-        for batch in batches:
-            for lane in range(len(SOUGHT)):
-                node, at, _ = _placed(batch.column(lane).to_numpy().view(np.uint64), FINE_BLOCKS, front)
-                kept = [batch.column(i).take(pa.array(at)) for i in (0, *range(len(SOUGHT), batch.num_columns))]
-                yield pa.RecordBatch.from_arrays([pa.array((node ^ np.uint64(lane << 62)).view(np.int64)), *kept], ["node", "fp", *CHECKED])
-
-    return run
+def _place_similar(batches):
+    """node, text_id, fp and CHECKED lanes: where the fingerprints of both SOUGHT lanes stand for each choice of fine blocks."""
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for lane in range(len(SOUGHT)):
+            node, at, _ = _placed(batch.column(1 + lane).to_numpy().view(np.uint64), FINE_BLOCKS, FRONT)
+            kept = [batch.column(i).take(pa.array(at)) for i in (0, 1, *range(1 + len(SOUGHT), batch.num_columns))]
+            yield pa.RecordBatch.from_arrays([pa.array((node ^ np.uint64(lane << 62)).view(np.int64)), *kept], ["node", "text_id", "fp", *CHECKED])
 
 
 def _near(v: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, most_checked: int) -> np.ndarray:
@@ -148,9 +145,9 @@ def _near(v: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, most_checked:
     return first
 
 
-def _tree_links(v: np.ndarray, most: int, most_checked: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _tree_links(v: np.ndarray, most: int, most_checked: int = 0, pairs: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(member, smallest-placed member tied to it) over fingerprints v (rows of lanes) in Gray order of the first lane: a
-    forest of links.
+    forest of links. Some of the pairs that tie them, as they were compared, are added to pairs.
 
     From the root down, pairs of runs are kept while the bits that each run's members share differ in `most` places at
     most; what is left at the leaves is compared one by one.
@@ -183,6 +180,9 @@ def _tree_links(v: np.ndarray, most: int, most_checked: int = 0) -> tuple[np.nda
         open_ = (i < j) & (j < n) & (root[i] != root[j])
         i, j = i[open_], j[open_]
         near = _near(full, i, j, most, most_checked)
+        if pairs is not None:
+            some = np.unique(np.maximum(root[i[near]], root[j[near]]), return_index=True)[1]
+            pairs.append((i[near][some], j[near][some]))
         _tie(root, i[near], j[near])
     root = root[:n]
     tied = np.flatnonzero(root != np.arange(n))
@@ -283,42 +283,224 @@ def near_links(fps: DataFrame, most_in_node: int = MOST_IN_NODE) -> DataFrame:
     return in_tree.unionByName(in_ball)
 
 
-def similar_links(fps: DataFrame, most: int, most_checked: int, most_in_node: int = MOST_IN_NODE) -> DataFrame:
-    """u, v: links of fingerprints (SOUGHT and CHECKED lanes; the first one stands for the row, and is not repeated) that
-    differ in `most` bits of the first lane and most_checked bits of the CHECKED ones at most, as far as they meet.
+def _node_candidates(most: int, most_checked: int, most_in_node: int):
+    """Candidate pairs (u, v) of text ids within nodes, or where many are tied together some of them (many is true then)
+    and each of the many with v null; rows (node, text_id, lanes) come sorted by node, and a node may span batches.
+
+    All members of a node above most_in_node are such many; it is never held whole.
+    """
+
+    def out(u, v, many: bool):
+        u = np.ascontiguousarray(u)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()) if v is None else pa.array(np.ascontiguousarray(v)), pa.array(np.full(len(u), many))], ["u", "v", "many"])
+
+    def links(node: np.ndarray, ids: np.ndarray, v: np.ndarray, crowded: int | None):
+        edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        sizes = np.diff(np.concatenate([edges, [len(node)]]))
+        little = (sizes <= SMALL) & (node[edges] != crowded if crowded is not None else True)
+        all_u, all_v, some_u, some_v, many = [], [], [], [], []
+        small = np.repeat(little, sizes)
+        for d in range(1, SMALL):
+            i = np.flatnonzero((node[d:] == node[:-d]) & small[d:])
+            i = i[_near(v, i, i + d, most, most_checked)]
+            all_u.append(ids[i])
+            all_v.append(ids[i + d])
+        for a, n in zip(edges[~little].tolist(), sizes[~little].tolist()):
+            whole = n <= most_in_node and node[a] != crowded
+            for lo in range(a, a + n, most_in_node):
+                hi = min(lo + most_in_node, a + n)
+                order = np.argsort(gray_rank(v[lo:hi, 0]), kind="stable")
+                part, named, pairs = v[lo:hi][order], ids[lo:hi][order], []
+                tied, to = _tree_links(part, most, most_checked, pairs)
+                root = np.arange(len(part))
+                root[tied] = to
+                of, count = np.unique(root, return_counts=True)
+                big = np.isin(root, of[count > TIED_AT_ONCE]) if whole else np.full(len(part), True)
+                if whole:
+                    two = tied[np.isin(to, of[count == 2])]
+                    all_u.append(named[two])
+                    all_v.append(named[root[two]])
+                    for k in of[(count > 2) & (count <= TIED_AT_ONCE)].tolist():
+                        members = np.flatnonzero(root == k)
+                        i, j = (members[x] for x in np.triu_indices(len(members), 1))
+                        near = _near(part, i, j, most, most_checked)
+                        all_u.append(named[i[near]])
+                        all_v.append(named[j[near]])
+                if big.any():
+                    many.append(named[big])
+                    i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+                    some_u.append(named[i[big[i]]])
+                    some_v.append(named[j[big[i]]])
+        for us, vs, flag in ((all_u, all_v, False), (some_u, some_v, True)):
+            if us:
+                found = np.unique(np.sort(np.stack([np.concatenate(us), np.concatenate(vs)], 1), 1), axis=0)
+                yield out(found[:, 0], found[:, 1], flag)
+        if many:
+            yield out(np.unique(np.concatenate(many)), None, True)
+
+    def run(batches):
+        rest, crowded = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], 1)]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now)]
+            node = now[0]
+            other = np.flatnonzero(node[::-1] != node[-1])
+            cut = len(node) - int(other[0]) if len(other) else 0
+            if cut:
+                yield from links(*(x[:cut] for x in now), crowded)
+            rest = [x[cut:] for x in now]
+            if len(rest[0]) > most_in_node:
+                crowded = int(node[-1])
+                full = len(rest[0]) // most_in_node * most_in_node
+                yield from links(*(x[:full] for x in rest), crowded)
+                rest = [x[full:] for x in rest]
+        if rest is not None and len(rest[0]):
+            yield from links(*rest, crowded)
+
+    return run
+
+
+def _block_pairs(most: int, most_checked: int):
+    """Candidate pairs (u, v) of text ids with different roots, a block of a node against a block: rows (node, low, high,
+    block, text_id, root, lanes) come sorted by the first four."""
 
-    All that agree in two of FINE_BLOCKS blocks of a SOUGHT lane are compared. Fingerprints of nodes above most_in_node
-    are compared where they agree in three, and then in four. Each level is staged.
+    def compared(block, ids, root, v, low, high):
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        for at in range(0, len(left), 128):
+            i, j = np.broadcast_arrays(left[at : at + 128, None], right[None, :])
+            apart = root[i] != root[j]
+            if low == high:
+                apart &= i < j
+            i, j = i[apart], j[apart]
+            near = _near(v, i, j, most, most_checked)
+            u, w = ids[i[near]], ids[j[near]]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)), pa.array(np.maximum(u, w))], ["u", "v"])
+
+    def run(batches):
+        rest = None
+        for batch in _and_none(batches):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                now = [np.stack([c.to_numpy() for c in batch.columns[:3]], 1), *(batch.column(i).to_numpy() for i in (3, 4, 5)), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[6:]], 1)]
+                rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+            if rest is None:
+                continue
+            edges = np.flatnonzero(np.concatenate([[True], (rest[0][1:] != rest[0][:-1]).any(1)])).tolist()
+            if batch is None:
+                edges.append(len(rest[0]))
+            for a, b in zip(edges, edges[1:]):
+                yield from compared(*(x[a:b] for x in rest[1:]), *rest[0][a, 1:].tolist())
+            rest = [x[edges[-1] :] for x in rest]
+
+    return run
+
+
+def _and_none(batches):
+    yield from batches
+    yield None
+
+
+def _all_pairs(texts: DataFrame, roots: DataFrame, most: int, most_checked: int, most_in_node: int) -> DataFrame:
+    """u, v: all pairs of texts (text_id, lanes) with different roots (node, root) that meet in a node and are near.
+
+    A node is cut into blocks of half of most_in_node, those of its commonest root apart from the others, and each
+    block of the others is compared with all. No node is left out and none is held whole.
     """
-    left, found = fps.select(*SOUGHT, *CHECKED), None
-    for front in FRONTS:
-        placed = left.mapInArrow(_place_similar(front), ", ".join(f"{n} bigint" for n in ("node", "fp", *CHECKED)))
-        dealt = placed.repartition("node").sortWithinPartitions("node")
-        out = stage(dealt.mapInArrow(_node_links(most, most_checked, most_in_node), "u bigint, v bigint"), "similar")
-        links = out.filter("v is not null")
-        found = links if found is None else found.unionByName(links)
-        crowded = out.filter("v is null")
-        if crowded.isEmpty():
-            break
-        left = left.join(crowded.select(F.col("u").alias("crowded")).distinct(), F.col("fp") == F.col("crowded"), "left_semi")
-    return found
+    rooted = texts.join(roots, F.col("text_id") == F.col("node"), "left").select("text_id", F.coalesce("root", "text_id").alias("root"), *SOUGHT, *CHECKED)
+    placed = rooted.select("text_id", *SOUGHT, *CHECKED).mapInArrow(_place_similar, ", ".join(f"{n} bigint" for n in ("node", "text_id", "fp", *CHECKED)))
+    placed = stage(placed.join(rooted.select(F.col("text_id").alias("of"), "root"), F.col("text_id") == F.col("of")).drop("of"), "many")
+    half = max(1, most_in_node // 2)
+    by_root = placed.groupBy("node", "root").agg(F.count("*").alias("n"))
+    nodes = by_root.groupBy(F.col("node").alias("at")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    blocks = lambda n: F.ceil(n / F.lit(half))
+    nodes = nodes.select("at", F.col("most.root").alias("common"), blocks(F.col("n") - F.col("most.n")).alias("others"), blocks(F.col("most.n")).alias("commons")).filter("others > 0")
+    own = F.when(F.col("root") == F.col("common"), F.col("others") + F.pmod(F.xxhash64("text_id"), "commons")).otherwise(F.pmod(F.xxhash64("text_id"), "others"))
+    last = F.when(F.col("root") == F.col("common"), F.col("others") - 1).otherwise(F.col("others") + F.col("commons") - 1)
+    dealt = placed.join(nodes, F.col("node") == F.col("at")).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = dealt.select("node", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "text_id", "root", "fp", *CHECKED)
+    dealt = dealt.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high")
+    return dealt.mapInArrow(_block_pairs(most, most_checked), "u bigint, v bigint").distinct()
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str = "text") -> DataFrame:
+    """text_id, shingles: the distinct shingle hashes of the rows of docs that wanted (text_id, row_id) names."""
+
+    def run(batches):
+        for batch in batches:
+            bodies = batch.column(1)
+            for i, j in slices(pa.compute.binary_length(bodies).to_pylist(), 1 << 20):
+                sets = pa.array([np.unique(np.array(shingle_hashes(b.as_py(), words), np.uint64)).view(np.int64) for b in bodies.slice(i, j - i)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], ["text_id", "shingles"])
+
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("body"))
+    named = texts.join(wanted.hint("shuffle_hash"), F.col("row") == F.col("row_id")).select("text_id", "body")
+    return named.mapInArrow(run, "text_id bigint, shingles array<bigint>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have the given Jaccard similarity or more."""
+    a, b = (sets.select(F.col("text_id").alias(f"{x}_id"), F.col("shingles").alias(x)) for x in "ab")
+    held = pairs.join(a, F.col("u") == F.col("a_id")).join(b, F.col("v") == F.col("b_id"))
+    both = F.size(F.array_intersect("a", "b"))
+    return held.filter(F.try_divide(both, F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+
+
+def similar_links(texts: DataFrame, known: DataFrame, sets_of, similarity: float, most: int, most_checked: int, most_in_node: int = MOST_IN_NODE) -> DataFrame:
+    """u, v: links of texts (text_id, SOUGHT and CHECKED lanes) of the given similarity, compared exactly by the shingles
+    that sets_of gives for a table of text ids.
+
+    Candidates agree in FRONT of FINE_BLOCKS blocks of a SOUGHT lane, and differ in `most` bits of the first lane and
+    most_checked bits of the CHECKED ones at most. Links and known ones (u, v) together tie all candidates of that
+    similarity: where many texts are tied together in a node, or a node holds over most_in_node, some pairs are checked
+    first, and then all pairs that those and known ones don't tie, block by block.
+    """
+    lanes = (*SOUGHT, *CHECKED)
+    placed = texts.select("text_id", *lanes).mapInArrow(_place_similar, ", ".join(f"{n} bigint" for n in ("node", "text_id", "fp", *CHECKED)))
+    dealt = placed.repartition("node").sortWithinPartitions("node")
+    out = stage(dealt.mapInArrow(_node_candidates(most, most_checked, most_in_node), "u bigint, v bigint, many boolean"), "similar")
+    some = out.filter("many and v is not null").groupBy("u").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("vs"))
+    pairs = stage(out.filter("not many").select("u", "v").unionByName(some.select("u", F.explode("vs").alias("v"))).distinct(), "pairs")
+    many = stage(out.filter("v is null").select(F.col("u").alias("text_id")).distinct(), "open")
+    sets = stage(sets_of(pairs.select(F.col("u").alias("text_id")).union(pairs.select("v")).union(many).distinct()), "shingles")
+    found = stage(_similar(pairs, sets, similarity), "found")
+    if many.isEmpty():
+        return found
+    left = texts.join(many.withColumnRenamed("text_id", "of"), F.col("text_id") == F.col("of"), "left_semi")
+    rest = stage(_all_pairs(left, components(known.unionByName(found)), most, most_checked, most_in_node), "rest")
+    return found.unionByName(_similar(rest, sets, similarity))
 
 
 def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, row_id, fingerprint, component_id, first: as near_groups(), with texts linked by similarity too.
 
-    Texts are linked whose CHECKED fingerprints, of shingles of `words` words, differ in no more bits than texts of the
-    given Jaccard similarity do on average, and SLACK deviations more: sets of similarity s differ in
-    arccos(2 s / (1 + s)) / pi of the bits. So similarity is estimated, within some 0.04. Candidates agree in two
-    blocks of a SOUGHT lane, of WORDS words, which fewer edits reach. Links of near_links() are among the result.
-    Nulls, ties and repeated rows: as in near_groups().
+    Texts are linked whose sets of shingles of `words` words have the given Jaccard similarity or more, compared
+    exactly. Candidates are sought by fingerprints: their CHECKED lanes differ in no more bits than those of texts of
+    that similarity do on average, and SLACK deviations more (sets of similarity s differ in arccos(2 s / (1 + s)) / pi
+    of the bits), and they agree in two blocks of a SOUGHT lane, of WORDS words, which fewer edits reach. Texts of
+    different words are compared each by its own lanes. Links of near_links() are among the result.
+    Nulls, ties and repeated rows: as in near_groups(). docs must give the same rows in the same partitions each time.
     """
     n, share = len(CHECKED) * BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most_checked = int(n * share + SLACK * np.sqrt(n * share * (1 - share)))
-    lanes = {name: (WORDS, i) for i, name in enumerate(SOUGHT)} | {name: (words, i) for i, name in enumerate(CHECKED)}
+    lanes = {"text_id": (0, 0)} | {name: (WORDS, i) for i, name in enumerate(SOUGHT)} | {name: (words, i) for i, name in enumerate(CHECKED)}
     rows = stage(fingerprints(docs, lanes, id_col, text_col), "fingerprints")
-    fps = stage(rows.groupBy("fp").agg(*[F.min(c).alias(c) for c in (*SOUGHT[1:], *CHECKED)]), "classes")  # 64 equal bits: one class
-    return _named(rows, similar_links(fps, BITS // 4, most_checked).unionByName(near_links(fps)))
+    texts = stage(rows.groupBy("text_id").agg(F.min("row_id").alias("row_id"), *[F.min(c).alias(c) for c in (*SOUGHT, *CHECKED)]), "classes")
+    heads = stage(texts.groupBy(F.col("fp").alias("of")).agg(F.min("text_id").alias("head")), "heads")
+    near = stage(near_links(heads.select(F.col("of").alias("fp"))), "near")
+    ends = [heads.select(F.col("of").alias(f"{x}_of"), F.col("head").alias(f"{x}_head")) for x in "uv"]
+    known = near.join(ends[0], F.col("u") == F.col("u_of")).join(ends[1], F.col("v") == F.col("v_of")).select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    known = stage(known.unionByName(texts.join(heads, F.col("fp") == F.col("of")).filter("text_id != head").select(F.col("text_id").alias("u"), F.col("head").alias("v"))), "known")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = texts.select("text_id", "row_id").join(ids.withColumnRenamed("text_id", "of"), F.col("text_id") == F.col("of"), "left_semi")
+        return shingle_sets(docs, wanted, words, text_col)
+
+    return _named(rows, similar_links(texts, known, sets_of, similarity, BITS // 4, most_checked).unionByName(known), "text_id")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,16 +515,16 @@ def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", tex
     return _named(rows, near_links(rows.select("fp").distinct()))
 
 
-def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (doc_id, row_id, fp) with the component that the links of their fingerprints give them."""
-    classes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("least"))
+def _named(rows: DataFrame, links: DataFrame, by: str = "fp") -> DataFrame:
+    """Rows (doc_id, row_id, fp, by) with the component that the links of their `by` give them."""
+    classes = rows.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("least"))
     roots = components(links)
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, F.col(by) == F.col("node"), "left").select(by, "least", F.coalesce("root", by).alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("head")).withColumnRenamed("root", "of")
     heads = stage(heads, "heads")  # a join with a table can be split where one group is large
-    named = stage(rooted.join(heads, F.col("root") == F.col("of")).select(F.col("fp").alias("same"), "head"), "named")
+    named = stage(rooted.join(heads, F.col("root") == F.col("of")).select(F.col(by).alias("same"), "head"), "named")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, F.col("fp") == F.col("same")).select(
+    return rows.join(named, F.col(by) == F.col("same")).select(
         "doc_id", "row_id", digits.alias("fingerprint"), F.col("head.doc_id").alias("component_id"), (F.col("row_id") == F.col("head.row_id")).alias("first")
     )
 
