@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from accessum.llm import simhash
 
@@ -54,3 +55,12 @@ def test_no_links_below_the_similarity(spark, tmp_path):
     for g, w in zip(got, want):
         of[g].add(w)
     assert all(len(x) == 1 for x in of.values())
+
+
+@pytest.mark.parametrize("changed", [1, 2])
+def test_crowded_nodes_lose_nothing(spark, tmp_path, monkeypatch, changed):
+    texts = family(2 + changed, 200, 130, changed) + family(9, 60, 80, 1)
+    whole = found_groups(spark, texts, str(tmp_path / "whole"))
+    found = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda *a: found(*a, 12))
+    assert found_groups(spark, texts, str(tmp_path / "crowded")) == whole
