@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from accessum.llm import simhash
+from accessum.llm import components, simhash
 
 
 def family(seed, n, words, changed):
@@ -64,3 +64,16 @@ def test_crowded_nodes_lose_nothing(spark, tmp_path, monkeypatch, changed):
     found = simhash.similar_links
     monkeypatch.setattr(simhash, "similar_links", lambda *a: found(*a, 12))
     assert found_groups(spark, texts, str(tmp_path / "crowded")) == whole
+
+
+def test_texts_of_one_fingerprint_keep_their_own_lanes(spark):
+    """Two texts share a first lane; a third one is near the second in the other lanes, and far from the mixture."""
+    r = np.random.default_rng(0)
+    lanes = lambda: [int(x) for x in r.integers(0, 2**62, 5)]
+    fp, one, two = 12345, lanes(), lanes()
+    rows = [(1, fp, *one), (2, fp, *two), (3, fp ^ 0b111, *two)]
+    texts = spark.createDataFrame(rows, "text_id long, fp long, " + ", ".join(f"{n} long" for n in (*simhash.SOUGHT[1:], *simhash.CHECKED)))
+    sets = spark.createDataFrame([(1, [1, 2]), (2, [3, 4, 5, 6]), (3, [3, 4, 5, 6, 7])], "text_id long, shingles array<long>")
+    known = spark.createDataFrame([], "u long, v long")
+    links = simhash.similar_links(texts, known, lambda ids: sets, 0.8, 16, 47)
+    assert {(x.node, x.root) for x in components.components(links).collect()} == {(2, 2), (3, 2)}
