@@ -268,4 +268,5 @@ def topic_assignment_counts(v: Views) -> DataFrame:
 def lda_fit_metrics(v: Views) -> DataFrame:
     """Variational fits aren't SQL; a test asks that they recover planted topics."""
     m = models.fit(v.counts, 4, 5)
-    return m.topic_region.groupBy("topic").agg(F.count("*").alias("regions"), F.round(F.sum("p"), 6).alias("mass"))
+    out = m.topic_region.groupBy("topic").agg(F.count("*").alias("regions"), F.round(F.sum("p"), 6).alias("mass"), F.round(F.max("p"), 6).alias("top"))
+    return out.withColumns({name: F.round(F.lit(x), 4) for name, x in m.metrics.items()})
