@@ -29,6 +29,7 @@ SCHEME = "media:sha256-"
 # The PNG signature, and names of HTML elements.
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SILENT = {"script", "style", "template", "noscript", "head"}
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 MEDIA = {"img", "video", "audio", "source", "embed"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4",
@@ -86,7 +87,8 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.silent, self.caption, self.figure = 0, None, None
+        self.silent, self.caption, self.figure, self.captions = 0, None, None, []
+        self.in_head = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -94,15 +96,47 @@ class _Page(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text})
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            if text and self.figure is None:
+                self.items.append({"kind": "text", "text": text})
+            elif text:
+                self.captions.append((len(self.items), text))
+
+    def end_figure(self) -> None:
+        """The figure's media get its caption; without media it is text at its place."""
+        self.end_caption()
+        self.flush()
+        if self.captions and self.figure:
+            text = " ".join(t for _, t in self.captions)
+            for i in self.figure:
+                self.items[i]["caption"] = text
+        else:
+            for at, text in reversed(self.captions):
+                self.items.insert(at, {"kind": "text", "text": text})
+        self.figure, self.captions = None, []
+
+    def end_head(self) -> None:
+        if self.in_head:
+            self.in_head, self.silent = False, max(0, self.silent - 1)
+
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
+        if self.in_head and tag not in IN_HEAD:
+            self.end_head()
+        if tag == "head":
+            if not self.in_head:
+                self.in_head, self.silent = True, self.silent + 1
+        elif tag in SILENT:
             self.silent += 1
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in MEDIA:
             a = dict(attrs)
-            if src := a.get("src") or a.get("data-src"):
+            src = a.get("src") or a.get("data-src") or next(iter((a.get("srcset") or a.get("data-srcset") or "").split()), "").rstrip(",")
+            if src:
                 self.flush()
                 digest = src[len(SCHEME) :] if src.startswith(SCHEME) else None
                 self.items.append({"kind": "media", "src": src, "digest": digest, "caption": a.get("alt") or a.get("title")})
@@ -111,19 +145,20 @@ class _Page(HTMLParser):
         elif tag in BLOCKS:
             self.flush()
             if tag == "figure":
+                self.end_figure()
                 self.figure = []
 
     def handle_endtag(self, tag):
-        if tag in SILENT:
+        if tag == "head":
+            self.end_head()
+        elif tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for i in self.figure or []:
-                self.items[i]["caption"] = text or self.items[i]["caption"]
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = None
+                self.end_figure()
 
     def handle_data(self, data):
         if not self.silent:
@@ -135,7 +170,7 @@ def parse_page(page: str) -> list[dict]:
     parser = _Page()
     parser.feed(page)
     parser.close()
-    parser.flush()
+    parser.end_figure()
     return [{"position": i, "text": None, "src": None, "digest": None, "caption": None, **x} for i, x in enumerate(parser.items)]
 
 
@@ -143,7 +178,8 @@ def interleaved(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html"
     """doc_id, items array<struct<position, kind ('text' or 'media'), text, src, digest, caption>>.
 
     Text blocks end at block elements; scripts, styles and the head are left out. A medium's caption is its figure's,
-    else its alt text or title. Null or empty page: no items. One row per row, repeated and null ids included.
+    else its alt text or title; the caption of a figure without media is text. The head ends at the first element that
+    can't stand in it. A medium given by srcset only has its first candidate as src. Null or empty page: no items. One row per row, repeated and null ids included.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     fields = [("position", pa.int32())] + [(n, pa.string()) for n in ("kind", "text", "src", "digest", "caption")]
