@@ -106,6 +106,42 @@ def test_every_prefix_and_budget():
             assert best == max(e for e, c in zip(ends, counts) if c <= budget)
 
 
+def test_prefix_program_is_the_librarys():
+    """Words of many kinds: contractions, digits, marks that join, special strings, other scripts; every prefix of each."""
+    path = token_counts.vocabulary_path()
+    words, t = token_counts.WordCounter(path), Tokenizer.from_file(path)
+    r = random.Random(4)
+    parts = ["'", "'s", "'re", "'l", "l", "ll", "don", "We", "12", "é", "e\u0301", "a\u0323\u0307", "한", "\u1112\u1161\u11ab", "Σ", "İ", "ing", "ation", "..", "(", "🎉", "日本", "aaaa", "<|endoftext|>", "<|startoftext|", "\u3000", "th", "x"]
+    made = ["".join(r.choice(parts) for _ in range(r.randrange(1, 9))) for _ in range(250)]
+    made += ["".join(r.choice("etaoinshrdlu'") for _ in range(r.randrange(1, 25))) for _ in range(250)]
+    for w in made:
+        sizes, counts = words.inside(w)
+        assert counts == [len(t.encode(w[:i], add_special_tokens=False)) for i in range(len(w) + 1)], w
+        assert sizes == [len(w[:i].encode()) for i in range(len(w) + 1)]
+
+
+def test_no_text_is_encoded_once_the_table_is_built(monkeypatch):
+    path = token_counts.vocabulary_path()
+    words, t = token_counts.WordCounter(path), Tokenizer.from_file(path)
+    word = ("unbelievable日本語の文章é" * 40_000)[:580_000]  # one word of 1 MB without spaces
+    table = token_counts.PrefixTable((word + " and the rest").encode(), words)
+    want = len(t.encode(word + " and the rest", add_special_tokens=False))
+    for broken in ("model", "_merges"):
+        monkeypatch.setattr(words, broken, None)
+    assert table.totals[-1] == want and table.tokens(len(table.text)) == want
+    for n in range(1, len(word.encode()), 99_991):
+        best = table.truncate(table.tokens(n))
+        assert best >= n - 3 and table.tokens(best) <= table.tokens(n)
+
+
+def test_bytes_in_limit(odd):
+    path = token_counts.vocabulary_path()
+    words = token_counts.WordCounter(path)
+    text = {r.doc_id: (r.text or "").encode() for r in odd.filter("doc_id < 9 or doc_id > 10").collect()}
+    for r in token_counts.token_counts(odd.filter("doc_id < 9 or doc_id > 10").dropDuplicates(["doc_id"]), path, limit=3).collect():
+        assert r.bytes_in_limit == token_counts.PrefixTable(text[r.doc_id], words).truncate(3) or r.doc_id == 4
+
+
 def test_empty(empty):
     assert token_counts.token_counts(empty, token_counts.vocabulary_path()).isEmpty()
     assert byte_bpe.round_trip(empty, byte_bpe.vocabulary_path()).isEmpty()
