@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (`spark.checkpoint.dir`); a local one of our own only where that is unset."""
+    """The folder every executor sees (`spark.checkpoint.dir`); one of our own only where that is unset and all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="accessum-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -56,13 +60,29 @@ def free_name(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose monotonically_increasing_id() is in gone's one column.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written once, and the number's column name (clashing with none of docs').
+
+    A number is stored beside its row, so every later reading of the table agrees on it, however the table is split
+    into tasks then. Numbers follow the order of the partitions of this one reading.
+    """
+    row = free_name("_row", docs)
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def without_rows(table: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """A numbered() table without the rows whose number is in gone's one column, and without the number.
 
     Only gone's side is held in memory, a partition at a time, so that long rows aren't sorted.
     """
-    row = free_name("_row", docs, gone)
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
+    return table.join(gone.hint("shuffle_hash"), F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
+
+
+def in_pieces(batches, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a column's strings or bytes sum to at most limit bytes; a longer one stands alone."""
+    for batch in batches:
+        for i, j in slices(pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist(), limit):
+            yield batch.slice(i, j - i)
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

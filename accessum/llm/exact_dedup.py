@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import free_name, slices, stage, without_rows
+from ._util import free_name, in_pieces, numbered, stage, without_rows
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS, WINDOW = 512, 16384, 11, 32
 ID_BYTES = 16
@@ -65,12 +65,10 @@ def cut_points(lengths: list[int], data: np.ndarray) -> Iterator[list[int]]:
 
 def _batches(batches, limit=4 << 20):
     """(rows' ids, texts as bytes, chunk ends) of at most limit bytes at a time, or one long text."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary()).to_pylist()
-        for i, j in slices([len(t) for t in texts], limit):
-            part = texts[i:j]
-            data = np.frombuffer(b"".join(part), np.uint8)
-            yield ids.slice(i, j - i), part, list(cut_points([len(t) for t in part], data))
+    for batch in in_pieces(batches, 1, limit):
+        part = batch.column(1).to_pylist()
+        data = np.frombuffer(b"".join(part), np.uint8)
+        yield batch.column(0), part, list(cut_points([len(t) for t in part], data))
 
 
 def _chunk_id(chunk: bytes) -> bytes:
@@ -106,9 +104,9 @@ def normalised(column: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_id, recipe (its chunks' identifiers, ID_BYTES each, in order), text_sha256 of the normalised text."""
-    key = F.struct(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"))
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, row_id (column row, else the place in docs), recipe (its chunks' identifiers, ID_BYTES each, in order), text_sha256 of the normalised text."""
+    key = F.struct(F.col(id_col).alias("doc_id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"))
     texts = docs.select(key.alias("key"), F.encode(normalised(text_col), "utf-8").alias("body"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = texts.mapInArrow(_recipes, f"key struct<doc_id:{kind},row_id:bigint>, recipe binary, text_sha256 string")
@@ -125,31 +123,30 @@ def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return sent.dropDuplicates(["chunk_id", "body"]).groupBy("chunk_id").agg(F.count("*").alias("variants"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, row_id (its place in docs).
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, row_id.
 
     Texts are equal when identical after replacing each run of ASCII white space by one space (no trimming). The row
-    with the smallest id of a group stays, and of rows that repeat that id the first in the table; exactly one row of a
-    group stays. Null text: equal to empty. Null id: after every other id, so such a row stays only in a group without
-    ids, with keep_id null. Empty table: no rows. Other columns are ignored.
+    with the smallest id of a group stays, and of rows that repeat that id the one of the smallest row_id; exactly one
+    row of a group stays. row_id is docs' column `row`, else the row's place, stored once. Null text: equal to empty.
+    Null id: after every other id, so such a row stays only in a group without ids, with keep_id null. Empty table: no
+    rows. Other columns are ignored. Should different chunks ever share an identifier, their texts are told apart by
+    the whole text's SHA-256.
     """
-    store = chunk_store(docs, text_col)
-    if clash := store.filter("variants > 1").select(F.hex("chunk_id")).first():
-        raise ValueError(f"two chunks share the identifier {clash[0]}; raise ID_BYTES")
-    rows = stage(recipes(docs, id_col, text_col), "recipes")
+    clash = not chunk_store(docs, text_col).filter("variants > 1").isEmpty()
+    rows = stage(recipes(docs, id_col, text_col, row), "recipes")
+    same = F.concat("recipe", F.unhex("text_sha256")) if clash else F.col("recipe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
-    groups = rows.groupBy(F.col("recipe").alias("same")).agg(first.alias("keep"), F.count("*").alias("group_size"))
+    groups = rows.groupBy(same.alias("same")).agg(first.alias("keep"), F.count("*").alias("group_size"))
     groups = stage(groups, "groups")  # a join of two tables can be split where one group is large
-    joined = rows.join(groups, F.col("recipe") == F.col("same"))
+    joined = rows.join(groups, same == F.col("same"))
     n_chunks = (F.octet_length("recipe") / ID_BYTES).cast("int")
     kept = F.col("row_id") == F.col("keep.row_id")
     return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", n_chunks.alias("n_chunks"), "row_id")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() doesn't keep; all columns stay.
-
-    docs must give the same rows in the same partitions each time it is read, as a table does.
-    """
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row_id").alias(free_name("_gone", docs)))
-    return without_rows(docs, gone)
+    """docs without the rows that exact_groups() doesn't keep; all columns stay."""
+    table, row = numbered(docs)
+    gone = exact_groups(table, id_col, text_col, row).filter(~F.col("kept")).select(F.col("row_id").alias(free_name("_gone", table)))
+    return without_rows(table, row, gone)

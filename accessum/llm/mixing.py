@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import free_name, stage
+from ._util import free_name, in_pieces, numbered, stage
 
 WEIGHTS, CAP, SEED, SALTS = (5, 2, 1), 3, "mix-1", 64
 
@@ -23,15 +23,15 @@ def _digest_number(column, digits: int):
 
 
 def _count_words(batches):
-    for batch in batches:
+    for batch in in_pieces(batches, 1, 8 << 20):
         sizes = pa.array([len(t.split()) for t in batch.column(1).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes], ["key", "size"])
 
 
-def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, row_id (the row's place in docs), none and source (no source: true and ''), size (words)."""
+def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: str | None = None) -> DataFrame:
+    """doc_id, row_id (column row, else the place in docs), none and source (no source: true and ''), size (words)."""
     key = F.struct(
-        F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(source_col).isNull().alias("none"),
+        F.col(id_col).alias("doc_id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col(source_col).isNull().alias("none"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
     )
     texts = docs.select(key.alias("key"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("body"))
@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     return steps.withColumn("level", level).select("none", "source", "source_size", F.least(F.col("top").cast("double"), F.coalesce(share, F.col("top").cast("double"))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, row_id, source, size (words), source_size, target (the source's), copies, taken (copies * size).
 
     copies differ by one at most within a source and never exceed cap; a source's taken words miss its target by about
@@ -70,7 +70,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     interchangeable. A source of size 0 gives no copies. Empty table: no rows.
     """
     salt = F.pmod(_digest_number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4), F.lit(SALTS)).cast("int")
-    rows = stage(word_sizes(docs, id_col, text_col, source_col).withColumn("salt", salt), "sizes")
+    rows = stage(word_sizes(docs, id_col, text_col, source_col, row).withColumn("salt", salt), "sizes")
     targets = source_targets(rows, weights, cap)
     offset = _digest_number(F.concat(F.lit(seed), F.when(F.col("none"), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))), 5) / F.lit(2.0**20)
     parts = rows.groupBy("none", "source", "size", "salt").agg(F.count("*").alias("n"))
@@ -92,13 +92,11 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, **columns: str) -> DataFrame:
-    """docs with each row repeated as often as mix_plan() says; rows of no copies go; all columns stay.
-
-    docs must give the same rows in the same partitions each time it is read, as a table does.
-    """
-    row, copy, times = free_name("_row", docs), free_name("_copy", docs), free_name("_times", docs)
-    plan = mix_plan(docs, weights, cap, seed, **columns).filter("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
-    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(plan.hint("shuffle_hash"), row)
+    """docs with each row repeated as often as mix_plan() says; rows of no copies go; all columns stay."""
+    table, row = numbered(docs)
+    copy, times = free_name("_copy", table), free_name("_times", table)
+    plan = mix_plan(table, weights, cap, seed, row=row, **columns).filter("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
+    rows = table.join(plan.hint("shuffle_hash"), row)
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[docs_column(c) for c in docs.columns])
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import free_name, slices, stage, without_rows
+from ._util import free_name, in_pieces, numbered, stage, unstage, without_rows
 from .components import components
 
 WORDS, SEED, MOST_DIFFERENT, BITS, BLOCKS = 3, 42, 2, 64, 4
@@ -81,18 +81,16 @@ def _majorities(hashes: list[list[int]], lane: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, lanes: dict[str, tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_id (the row's place in docs), and a long for each lane: its 64 bits, signed. Null text: as empty."""
+def fingerprints(docs: DataFrame, lanes: dict[str, tuple[int, int]], id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, row_id (column row, else the place in docs), and a long for each lane: its 64 bits, signed. Null text: as empty."""
     kind, names, wanted = docs.schema[id_col].dataType.simpleString(), list(lanes), tuple(lanes.values())
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            parts = [fingerprints_of(texts[i:j], wanted) for i, j in slices([len(t) for t in texts], 1 << 20)]
-            fps = np.concatenate(parts).view(np.int64) if parts else np.empty((0, len(names)), np.int64)
+        for batch in in_pieces(batches, 1, 1 << 20):
+            fps = fingerprints_of(batch.column(1).to_pylist(), wanted).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(names)))], ["key", *names])
 
-    key = F.struct(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"))
+    key = F.struct(F.col(id_col).alias("doc_id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"))
     texts = docs.select(key.alias("key"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("body"))
     return texts.mapInArrow(run, f"key struct<doc_id:{kind},row_id:bigint>, " + ", ".join(f"{n} bigint" for n in names)).select("key.*", *names)
 
@@ -427,17 +425,15 @@ def _all_pairs(texts: DataFrame, roots: DataFrame, most: int, most_checked: int,
     return dealt.mapInArrow(_block_pairs(most, most_checked), "u bigint, v bigint").distinct()
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str = "text") -> DataFrame:
-    """text_id, shingles: the distinct shingle hashes of the rows of docs that wanted (text_id, row_id) names."""
+def shingle_sets(table: DataFrame, row: str, wanted: DataFrame, words: int, text_col: str = "text") -> DataFrame:
+    """text_id, shingles: the distinct shingle hashes of the rows of a numbered() table that wanted (text_id, row_id) names."""
 
     def run(batches):
-        for batch in batches:
-            bodies = batch.column(1)
-            for i, j in slices(pa.compute.binary_length(bodies).to_pylist(), 1 << 20):
-                sets = pa.array([np.unique(np.array(shingle_hashes(b.as_py(), words), np.uint64)).view(np.int64) for b in bodies.slice(i, j - i)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], ["text_id", "shingles"])
+        for batch in in_pieces(batches, 1, 1 << 20):
+            sets = pa.array([np.unique(np.array(shingle_hashes(b.as_py(), words), np.uint64)).view(np.int64) for b in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["text_id", "shingles"])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("body"))
+    texts = table.select(F.col(row).alias("row"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("body"))
     named = texts.join(wanted.hint("shuffle_hash"), F.col("row") == F.col("row_id")).select("text_id", "body")
     return named.mapInArrow(run, "text_id bigint, shingles array<bigint>")
 
@@ -469,13 +465,18 @@ def similar_links(texts: DataFrame, known: DataFrame, sets_of, similarity: float
     sets = stage(sets_of(pairs.select(F.col("u").alias("text_id")).union(pairs.select("v")).union(many).distinct()), "shingles")
     found = stage(_similar(pairs, sets, similarity), "found")
     if many.isEmpty():
+        for done in (out, pairs, many, sets):
+            unstage(done)
         return found
     left = texts.join(many.withColumnRenamed("text_id", "of"), F.col("text_id") == F.col("of"), "left_semi")
     rest = stage(_all_pairs(left, components(known.unionByName(found)), most, most_checked, most_in_node), "rest")
-    return found.unionByName(_similar(rest, sets, similarity))
+    more = stage(_similar(rest, sets, similarity), "more")
+    for done in (out, pairs, many, sets, rest):
+        unstage(done)
+    return found.unionByName(more)
 
 
-def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, row_id, fingerprint, component_id, first: as near_groups(), with texts linked by similarity too.
 
     Texts are linked whose sets of shingles of `words` words have the given Jaccard similarity or more, compared
@@ -483,12 +484,14 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: floa
     that similarity do on average, and SLACK deviations more (sets of similarity s differ in arccos(2 s / (1 + s)) / pi
     of the bits), and they agree in two blocks of a SOUGHT lane, of WORDS words, which fewer edits reach. Texts of
     different words are compared each by its own lanes. Links of near_links() are among the result.
-    Nulls, ties and repeated rows: as in near_groups(). docs must give the same rows in the same partitions each time.
+    Nulls, ties and repeated rows: as in near_groups(). row: docs' column of row numbers, if docs is numbered() already.
     """
+    if row is None:
+        docs, row = numbered(docs)
     n, share = len(CHECKED) * BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most_checked = int(n * share + SLACK * np.sqrt(n * share * (1 - share)))
     lanes = {"text_id": (0, 0)} | {name: (WORDS, i) for i, name in enumerate(SOUGHT)} | {name: (words, i) for i, name in enumerate(CHECKED)}
-    rows = stage(fingerprints(docs, lanes, id_col, text_col), "fingerprints")
+    rows = stage(fingerprints(docs, lanes, id_col, text_col, row), "fingerprints")
     texts = stage(rows.groupBy("text_id").agg(F.min("row_id").alias("row_id"), *[F.min(c).alias(c) for c in (*SOUGHT, *CHECKED)]), "classes")
     heads = stage(texts.groupBy(F.col("fp").alias("of")).agg(F.min("text_id").alias("head")), "heads")
     near = stage(near_links(heads.select(F.col("of").alias("fp"))), "near")
@@ -498,7 +501,7 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: floa
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = texts.select("text_id", "row_id").join(ids.withColumnRenamed("text_id", "of"), F.col("text_id") == F.col("of"), "left_semi")
-        return shingle_sets(docs, wanted, words, text_col)
+        return shingle_sets(docs, row, wanted, words, text_col)
 
     return _named(rows, similar_links(texts, known, sets_of, similarity, BITS // 4, most_checked).unionByName(known), "text_id")
 
@@ -530,9 +533,7 @@ def _named(rows: DataFrame, links: DataFrame, by: str = "fp") -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of similar_groups(); all columns stay.
-
-    docs must give the same rows in the same partitions each time it is read, as a table does.
-    """
-    gone = similar_groups(docs, words, similarity, id_col, text_col).filter(~F.col("first")).select(F.col("row_id").alias(free_name("_gone", docs)))
-    return without_rows(docs, gone)
+    """docs with one row of each group of similar_groups(); all columns stay."""
+    table, row = numbered(docs)
+    gone = similar_groups(table, words, similarity, id_col, text_col, row).filter(~F.col("first")).select(F.col("row_id").alias(free_name("_gone", table)))
+    return without_rows(table, row, gone)

@@ -4,12 +4,15 @@ Triggers: of every SPAN bytes, the SEED-byte window with the least rolling hash.
 SPAN-byte strings with the same trigger, which start in one run of places and make up one short piece of text. Equal
 strings have equal triggers at the same distance, so phrases with different trigger texts share no such string.
 The dictionary holds each distinct phrase with its first place in the corpus; the parse, the phrases of each text.
- 1. Phrases that occur before give up all their strings at once: the parse decides.
- 2. Distinct phrases with one trigger text may share a part of their strings: their first occurrences are looked up
-    in the text, and the strings that start in them are sorted; all but the first of equal ones go.
-Phrases travel as packed arrays, dealt by trigger text, each once per task. Trigger texts that very many different
-phrases share, found in a bounded sample, are taken apart into single strings beforehand, in every task alike; so what
-is dealt spreads evenly, and the sample decides where rows go but not which strings are equal.
+ 1. Phrases that occur before give up all their strings at once: the parse, sorted by phrase and place, decides.
+ 2. Distinct phrases with one trigger text may share a part of their strings. Their texts, looked up at their first
+    places, are a block of the dictionary. A suffix array of the block, by doubled ranks of its bytes, sorts all
+    suffixes by their first SPAN bytes; the parse orders what the dictionary leaves equal, so both together give the
+    block's strings in corpus order. All but the first of equal ones go. Deeper order than SPAN bytes is never needed.
+Phrases travel as packed arrays, dealt by trigger text, each once per task. A trigger text that over MOST_A_TRIGGER
+distinct phrases share is taken apart into single strings, dealt by their own hash. Where a bounded sample shows one to
+be much used, that is done beforehand, in every task alike, so that what is dealt spreads evenly; the sample decides
+where rows go but not which strings are equal.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import parallelism, slices, stage
+from ._util import numbered, parallelism, slices, stage, unstage
 
 SPAN, SEED = 100, 40
 SLICE_BITS = 19
 FLUSH, BUCKETS_A_PARTITION, ROWS_OUT = 300_000, 4, 5_000
 #: Sample that finds much-used trigger texts: rows, and occurrences in it from which one counts as such.
-SAMPLE_ROWS, MUCH_USED = 20_000, 64
+SAMPLE_ROWS, MUCH_USED, MOST_ROUTED = 20_000, 64, 200_000
+#: Distinct phrases of one trigger text that are sorted as one block.
+MOST_A_TRIGGER = 4096
 _U = np.uint64
 _r = np.random.default_rng(97)
 _LETTERS = [_r.integers(1, 2**63, 256, dtype=np.uint64) for _ in range(2)]
@@ -251,6 +256,10 @@ def _settle(buckets: int):
         a = h[order]
         same = a[1:] == a[:-1]
         ask = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        edges = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
+        n = n.astype(np.int64)
+        crowded = order[np.repeat(np.diff(edges) > MOST_A_TRIGGER, np.diff(edges))]
+        n[crowded] = -n[crowded]  # such phrases are to come as single strings
         for r, (hs, los, ns) in _by_row(row[ask], h[ask], lo[ask], n[ask]):
             out.append((_ASK, r % buckets, r, hs.tobytes() + los.astype(np.int32).tobytes() + ns.astype(np.int32).tobytes()))
         return _rows(out)
@@ -276,7 +285,7 @@ def _settle(buckets: int):
 
 
 def _look_up(batches):
-    """What rows ask for: h, document, row, place and text of a phrase."""
+    """What rows ask for: h, document, row, place and text of a phrase; of a crowded trigger's phrases, each string."""
     kinds, out = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), []
 
     def found():
@@ -290,34 +299,75 @@ def _look_up(batches):
             for body in asks:
                 k = len(body) // 16
                 hs, los, ns = np.frombuffer(body, np.int64, k), np.frombuffer(body, np.int32, k, 8 * k), np.frombuffer(body, np.int32, k, 12 * k)
-                out += [(h, doc, row, lo, text[lo : lo + n - 1 + SPAN]) for h, lo, n in zip(hs.tolist(), los.tolist(), ns.tolist())]
+                for h, lo, n in zip(hs.tolist(), los.tolist(), ns.tolist()):
+                    if n > 0:
+                        out.append((h, doc, row, lo, text[lo : lo + n - 1 + SPAN]))
+                        continue
+                    part = text[lo : lo - n - 1 + SPAN]
+                    each = Hashes(np.frombuffer(part, np.uint8), 0).each(SPAN).view(np.int64).tolist()
+                    out += [(x, doc, row, lo + i, part[i : i + SPAN]) for i, x in enumerate(each)]
+                    if len(out) >= ROWS_OUT:
+                        yield found()
             if len(out) >= ROWS_OUT:
                 yield found()
     if out:
         yield found()
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct ones."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]), dtype=np.uint64)
+    return out
+
+
+def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """Where each suffix of data stands by its first `depth` bytes (a power of 2, 8 at least), zeros behind the end; equal ones stand equal."""
+    more = np.concatenate([data, np.zeros(8, np.uint8)])
+    keys = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        keys = keys << _U(8) | more[k : k + len(data)]
+    rank, width = _ranks(keys), 8
+    while width < depth:
+        behind = np.zeros_like(rank)
+        behind[:-width] = rank[width:] + _U(1)
+        rank, width = _ranks(rank * _U(len(data) + 1) + behind), 2 * width
+    return rank
+
+
+def corpus_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the SPAN-byte strings that begin at starts, by their bytes and then as given, and which of it come first among equals."""
+    half = 1 << (SPAN.bit_length() - 1)
+    rank = suffix_ranks(data, half)
+    keys = rank[starts] * _U(len(data) + 1) + rank[starts + SPAN - half]
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    return order, np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.empty(0, bool)
+
+
 def _sort_strings(batches):
-    """Among phrases with one trigger text, which come sorted by it: the strings that start earlier elsewhere."""
+    """Among phrases with one trigger text, which come sorted by it and then by place: the strings that start earlier elsewhere.
+
+    Single strings of a much-used trigger come by their own hash; of very many, those met first are kept and the rest settled.
+    """
 
     def settle(h, doc, row, lo, bodies):
-        n = np.array([len(b) for b in bodies]) - SPAN + 1
-        for i in range(0, len(bodies), 2000):  # hashes first, of a slice at a time
-            part = bodies[i : i + 2000]
-            data = np.frombuffer(b"".join(part), np.uint8)
-            sizes = np.array([len(b) for b in part])
-            start = np.repeat(np.cumsum(sizes) - sizes, n[i : i + 2000]) + _within(n[i : i + 2000])
-            w1.append(Hashes(data, 0).of(start, start + SPAN))
-            w2.append(Hashes(data, 1).of(start, start + SPAN))
-        a, b = np.concatenate(w1), np.concatenate(w2)
-        w1.clear()
-        w2.clear()
-        place, docs, rows = np.repeat(lo, n) + _within(n), np.repeat(doc, n), np.repeat(row, n)
-        order, first = _first_of_each(a ^ mixed(np.repeat(h, n).view(np.uint64)), b, docs, rows, place)
-        again = order[~first]
-        return _rows([(_GONE, 0, r, _spans_of(x, np.ones(len(x), np.int64))) for r, (x,) in _by_row(rows[again], place[again])])
-
-    w1, w2, rest = [], [], None
+        """Rows of repeats, and which phrases hold no repeat."""
+        sizes = np.array([len(b) for b in bodies])
+        n = sizes - SPAN + 1
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        starts = np.repeat(np.cumsum(sizes) - sizes, n) + _within(n)
+        phrase = np.repeat(np.arange(len(bodies)), n)
+        order, first = corpus_order(data, starts)
+        again = np.sort(order[~first])
+        place, rows = (lo[phrase] + _within(n))[again], row[phrase[again]]
+        held = np.ones(len(bodies), bool)
+        held[phrase[again]] = False
+        return _rows([(_GONE, 0, r, _spans_of(x, np.ones(len(x), np.int64))) for r, (x,) in _by_row(rows, place)]), held
+
+    rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -327,11 +377,18 @@ def _sort_strings(batches):
         if rest:
             cols, bodies = [np.concatenate([a, b]) for a, b in zip(rest[0], cols)], rest[1] + bodies
         cut = len(cols[0]) - _tail(cols[0])
-        if cut:
-            yield settle(*(x[:cut] for x in cols), bodies[:cut])
+        start = 0
+        for end in [*(np.flatnonzero(cols[0][1:cut] != cols[0][: cut - 1]) + 1).tolist(), cut] if cut else ():
+            if end - start >= MOST_A_TRIGGER or end == cut:  # a block of whole trigger texts
+                yield settle(*(x[start:end] for x in cols), bodies[start:end])[0]
+                start = end
         rest = ([x[cut:] for x in cols], bodies[cut:])
+        if len(rest[1]) > 2 * MOST_A_TRIGGER and len(rest[1][0]) == len(rest[1][-1]) == SPAN:
+            out, held = settle(*rest[0], rest[1])
+            yield out
+            rest = ([x[held] for x in rest[0]], [b for b, k in zip(rest[1], held) if k])
     if rest and rest[1]:
-        yield settle(*rest[0], rest[1])
+        yield settle(*rest[0], rest[1])[0]
 
 
 def _tail(h: np.ndarray) -> int:
@@ -378,7 +435,7 @@ def much_used_triggers(docs: DataFrame, rows: int = SAMPLE_ROWS, least: int = MU
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["h", "n"])
 
     sample = docs.select("body") if share == 1 else docs.sample(share, 11).select("body")
-    found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h").toPandas()["h"]
+    found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_ROUTED).select("h").toPandas()["h"]
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
@@ -387,21 +444,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes; each byte goes that is covered by a SPAN-byte string which also starts earlier: in a row of
     smaller id, or in the same row at an earlier place. Strings lie within one text and are judged on the input. Rows
-    that repeat an id are documents of their own, in the order of the table; null ids come first. Null text: empty.
-    Texts shorter than SPAN keep all. Empty table: no rows. docs must give the same rows in the same partitions each
-    time it is read, as a table does. Ids must be integers.
+    that repeat an id are documents of their own, in the order of the table, which is numbered once; null ids come
+    first. Null text: empty. Texts shorter than SPAN keep all. Empty table: no rows. Ids must be integers.
     """
     spark = docs.sparkSession
     buckets = BUCKETS_A_PARTITION * parallelism(spark)
     body = F.encode(F.coalesce(text_col, F.lit("")), "utf-8")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), body.alias("body"))
+    table, number = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")))
+    texts = table.select("doc_id", F.col(number).alias("row_id"), "body")
     parsed = texts.mapInArrow(_parse(buckets, much_used_triggers(texts)), _OUT)
     dealt = parsed.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
     settled = stage(dealt.mapInArrow(_settle(buckets), _OUT), "settled")
     asks = settled.filter(F.col("kind") == _ASK).groupBy(F.col("row_id").alias("asking")).agg(F.collect_list("body").alias("asks"))
     asked = texts.join(asks.hint("shuffle_hash"), F.col("row_id") == F.col("asking")).select("doc_id", "row_id", "body", "asks")
     found = asked.mapInArrow(_look_up, "h long, doc_id long, row_id long, lo int, body binary")
-    strings = found.repartition(parallelism(spark), "h").sortWithinPartitions("h").mapInArrow(_sort_strings, _OUT)
+    strings = found.repartition(parallelism(spark), "h").sortWithinPartitions("h", F.col("doc_id").asc_nulls_first(), "row_id", "lo").mapInArrow(_sort_strings, _OUT)
     gone = settled.filter(F.col("kind") == _GONE).unionByName(strings).groupBy(F.col("row_id").alias("of")).agg(F.collect_list("body").alias("gone"))
     both = texts.join(gone.hint("shuffle_hash"), F.col("row_id") == F.col("of"), "left").select("doc_id", "row_id", "body", "gone")
     return both.mapInArrow(_cut_out, "doc_id long, row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")

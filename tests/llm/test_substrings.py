@@ -67,6 +67,34 @@ def test_flushes_and_slices(spark, monkeypatch):
         assert one.of(np.array([at]), np.array([at + 40]))[0] == one.each(40)[at]
 
 
+@pytest.mark.parametrize("most", [4096, 3, 1])
+def test_crowded_triggers(spark, monkeypatch, most):
+    """One passage in very many surroundings: its trigger texts are taken apart into strings, and results don't change."""
+    r = np.random.default_rng(most)
+    letters = lambda n: "".join(r.choice(list("abcdef "), n))
+    passage = letters(150)
+    rows = [(i, letters(r.integers(0, 90)) + passage[r.integers(0, 40) :] + letters(r.integers(0, 90))) for i in range(200)] + [(500 + i, passage[:130]) for i in range(50)]
+    monkeypatch.setattr(substrings, "MOST_A_TRIGGER", most)
+    monkeypatch.setattr(substrings, "much_used_triggers", lambda docs: np.empty(0, np.uint64))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(df) == brute(rows)
+
+
+def test_suffix_arrays():
+    r = np.random.default_rng(4)
+    data = np.frombuffer(bytes(r.choice(list(b"ab"), 700).tolist()) * 2 + b"\0" * 40 + bytes(150), np.uint8)
+    rank = substrings.suffix_ranks(data, 64)
+    text = data.tobytes()
+    heads = [text[i : i + 64].ljust(64, b"\0") for i in range(len(text))]
+    place = {h: i for i, h in enumerate(sorted(set(heads)))}
+    assert all((place[heads[i]] < place[heads[j]]) == (rank[i] < rank[j]) for i in range(0, len(text), 7) for j in range(0, len(text), 11) if 0 not in data[i : i + 64] and 0 not in data[j : j + 64])
+    starts = r.permutation(len(text) - 99)
+    order, first = substrings.corpus_order(data, starts)
+    strings = [text[starts[k] : starts[k] + 100] for k in order]
+    assert strings == sorted(strings) and first.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
+    assert all(first[i] or order[i - 1] < order[i] for i in range(1, len(order)))
+
+
 def test_merged_spans():
     assert substrings.merged(np.array([[300, 1], [0, 5], [4, 1], [104, 2]])) == [(0, 205), (300, 400)]
 
