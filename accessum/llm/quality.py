@@ -12,17 +12,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import slices
+from ._util import in_pieces, slices
 
 BLOCK, BLOCKS_A_CHUNK = 32, 4
 CHUNK, STEP = BLOCK * BLOCKS_A_CHUNK, BLOCK * (BLOCKS_A_CHUNK - 1)
 WIDTH, HOP, EMBED, FILTERS, HIDDEN = 8, 2, 4, 16, 12
-#: Bounds of the sample a model is fitted on: rows of each label, bytes of one text (a window at a place its id decides).
-FIT_ROWS, FIT_BYTES = 2000, 4096
+#: Bounds of the sample a model is fitted on: rows of each label, and bytes that their whole texts may sum to.
+FIT_ROWS, FIT_BYTES = 2000, 8 << 20
+#: Bytes of the texts of one step of learning; a longer text is a step of its own.
+STEP_BYTES = 1 << 18
 EPOCHS, DOCS_A_STEP, RATE, AVERAGED = 10, 64, 0.006, 0.3
 THRESHOLD = 0.7
 HELD_OUT = 2
@@ -143,8 +144,7 @@ class ByteConvNet:
         step = summed = 0
         for epoch in range(epochs):
             order = r.permutation(len(texts))
-            for i in range(0, len(order), DOCS_A_STEP):
-                rows = order[i : i + DOCS_A_STEP]
+            for rows in (order[i:j][k : k + DOCS_A_STEP] for i, j in slices([len(texts[x]) for x in order], STEP_BYTES) for k in range(0, j - i, DOCS_A_STEP)):
                 step += 1
                 rate = RATE * (1 - epoch / epochs)
                 for k, g in self.gradients([texts[x] for x in rows], labels[rows], weight[rows]).items():
@@ -169,8 +169,8 @@ def held_out(column: str = "doc_id"):
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, n_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> ByteConvNet:
     """A model of labels.quality from a bounded sample, the same for the same tables.
 
-    Of each label at most `rows` rows that aren't held out, those first by a hash of their id, and of each text at most
-    n_bytes bytes, from a place that the hash decides. Null labels and ids are left out. With one label or none the
+    Of each label at most `rows` rows that aren't held out, those first by a hash of their id, as many as have n_bytes
+    bytes of text together (a longer one stays out, and those behind it come in); each with its whole text. Null labels and ids are left out. With one label or none the
     model is a constant, the labels' smoothed share.
     """
     known = labels.select(F.col("doc_id").alias("_id"), "quality").filter(F.col("_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("_id"))
@@ -181,11 +181,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, n_byte
     parts = [known.filter(F.col("quality") == q).select("_id", "quality", mixed.alias("_mix")).orderBy("_mix", "_id").limit(rows) for q in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * rows rows at most
     body = F.encode(F.coalesce(text_col, F.lit("")), "utf-8")
-    spare = F.greatest(F.octet_length(body) - n_bytes, F.lit(0))
+    size = F.octet_length("body")
+    upto = Window.partitionBy("quality").orderBy("_mix", "_id", "body")  # of 2 * rows rows, unless ids repeat
     sample = (
         docs.select(F.col(id_col).alias("_doc"), F.col(text_col))
         .join(chosen, F.col("_doc") == F.col("_id"))
-        .select("_mix", "_id", "quality", F.substring(body, F.lit(1) + F.pmod("_mix", spare + 1).cast("int"), F.lit(n_bytes)).alias("body"))
+        .select("_mix", "_id", "quality", body.alias("body"))
+        .filter(size <= n_bytes // 8)
+        .withColumn("_sum", F.sum(size.cast("long")).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter(F.col("_sum") <= n_bytes)
+        .drop("_sum")
         .orderBy("_mix", "_id", "body")
         .limit(2 * rows)
         .collect()
@@ -195,12 +200,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, n_byte
     texts, y = [bytes(r["body"]) for r in sample], np.array([r["quality"] for r in sample])
     share = {q: len(y) / max(1, (y == q).sum()) * totals[q] / sum(totals.values()) for q in (0, 1)}  # as frequent as among all labels
     weight = np.array([share[q] for q in y.tolist()])
-    # any piece of a good text is good: one short piece of each, as few whole texts are short
-    r = np.random.default_rng(FIT_BYTES)
-    good = np.flatnonzero(y == 1)
-    sizes = np.exp(r.uniform(np.log(8), np.log(400), len(good))).astype(int)
-    pieces = [texts[i][(a := int(r.integers(0, max(1, len(texts[i]) - n)))) : a + n] for i, n in zip(good.tolist(), sizes.tolist())]
-    return ByteConvNet.fresh().fit(texts + pieces, np.concatenate([y, y[good]]), np.concatenate([weight, weight[good]]))
+    # a short piece of each text, as few whole texts are short; those of bad texts are longer, as the fault must be in them
+    r = np.random.default_rng(rows)
+    sizes = np.exp(r.uniform(np.log(np.where(y == 1, 8, 200)), np.log(np.where(y == 1, 400, 800)))).astype(int)
+    pieces = [t[(a := int(r.integers(0, max(1, len(t) - n)))) : a + n] for t, n in zip(texts, sizes.tolist())]
+    return ByteConvNet.fresh().fit(texts + pieces, np.concatenate([y, y]), np.concatenate([weight, weight]))
 
 
 def score_quality(docs: DataFrame, model: ByteConvNet, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -211,7 +215,7 @@ def score_quality(docs: DataFrame, model: ByteConvNet, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, 1, 4 << 20):
             score = model.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
@@ -223,12 +227,11 @@ def score_quality(docs: DataFrame, model: ByteConvNet, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, model: ByteConvNet, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows the model rejects; all columns stay."""
 
+    at = docs.schema.fieldNames().index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for i, j in slices(pa.compute.binary_length(batch.column(at)).fill_null(0).to_pylist(), 4 << 20):
-                part = batch.slice(i, j - i)
-                texts = [(t or "").encode("utf-8") for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(model.score(texts) >= threshold))
+        for part in in_pieces(batches, at, 4 << 20):
+            texts = [(t or "").encode("utf-8") for t in part.column(at).to_pylist()]
+            yield part.filter(pa.array(model.score(texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
