@@ -451,7 +451,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = BUCKETS_A_PARTITION * parallelism(spark)
     body = F.encode(F.coalesce(text_col, F.lit("")), "utf-8")
     table, number = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")))
-    texts = table.select("doc_id", F.col(number).alias("row_id"), "body")
+    texts = table.filter(F.col(number).isNotNull()).select("doc_id", F.col(number).alias("row_id"), "body")  # as both joins read it, so that one exchange serves both
     parsed = texts.mapInArrow(_parse(buckets, much_used_triggers(texts)), _OUT)
     dealt = parsed.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
     settled = stage(dealt.mapInArrow(_settle(buckets), _OUT), "settled")
