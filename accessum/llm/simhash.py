@@ -126,12 +126,12 @@ def _place(batches):
 
 
 def _place_similar(batches):
-    """node, text_id, fp and CHECKED lanes: where the fingerprints of both SOUGHT lanes stand for each choice of fine blocks."""
+    """node, text_id, SOUGHT and CHECKED lanes: where the fingerprints of both SOUGHT lanes stand for each choice of fine blocks."""
     for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         for lane in range(len(SOUGHT)):
             node, at, _ = _placed(batch.column(1 + lane).to_numpy().view(np.uint64), FINE_BLOCKS, FRONT)
-            kept = [batch.column(i).take(pa.array(at)) for i in (0, 1, *range(1 + len(SOUGHT), batch.num_columns))]
-            yield pa.RecordBatch.from_arrays([pa.array((node ^ np.uint64(lane << 62)).view(np.int64)), *kept], ["node", "text_id", "fp", *CHECKED])
+            kept = [c.take(pa.array(at)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array((node ^ np.uint64(lane << 62)).view(np.int64)), *kept], ["node", "text_id", *SOUGHT, *CHECKED])
 
 
 def _near(v: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, most_checked: int) -> np.ndarray:
@@ -361,11 +361,25 @@ def _node_candidates(most: int, most_checked: int, most_in_node: int):
     return run
 
 
+def _first_meeting(node: int, apart: np.ndarray) -> np.ndarray:
+    """Whether a node is the first one where pairs meet; apart: the bits in which their SOUGHT lanes differ."""
+    width = BITS // FINE_BLOCKS
+    agree = np.zeros(apart.shape, np.int64)
+    for b in range(FINE_BLOCKS):
+        agree |= (apart >> np.uint64(BITS - width * (b + 1)) & np.uint64((1 << width) - 1) == 0).astype(np.int64) << b
+    lane, chosen = node >> 62 & 1, list(combinations(range(FINE_BLOCKS), FRONT))[(node & (1 << 62) - 1) >> width * FRONT]
+    first = agree[:, lane] & (1 << chosen[-1] + 1) - 1 == sum(1 << b for b in chosen)
+    for earlier in range(lane):
+        first &= np.bitwise_count(agree[:, earlier]) < FRONT
+    return first
+
+
 def _block_pairs(most: int, most_checked: int):
     """Candidate pairs (u, v) of text ids with different roots, a block of a node against a block: rows (node, low, high,
-    block, text_id, root, lanes) come sorted by the first four."""
+    block, text_id, root, lanes) come sorted by the first four. A pair that meets in several nodes is given once."""
 
-    def compared(block, ids, root, v, low, high):
+    def compared(block, ids, root, v, node, low, high):
+        sought, v = v[:, : len(SOUGHT)], np.delete(v, slice(1, len(SOUGHT)), 1)
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         for at in range(0, len(left), 128):
             i, j = np.broadcast_arrays(left[at : at + 128, None], right[None, :])
@@ -373,8 +387,10 @@ def _block_pairs(most: int, most_checked: int):
             if low == high:
                 apart &= i < j
             i, j = i[apart], j[apart]
-            near = _near(v, i, j, most, most_checked)
-            u, w = ids[i[near]], ids[j[near]]
+            near = np.flatnonzero(_near(v, i, j, most, most_checked))
+            i, j = i[near], j[near]
+            once = _first_meeting(node, sought[i] ^ sought[j])
+            u, w = ids[i[once]], ids[j[once]]
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)), pa.array(np.maximum(u, w))], ["u", "v"])
 
@@ -392,7 +408,7 @@ def _block_pairs(most: int, most_checked: int):
             if batch is None:
                 edges.append(len(rest[0]))
             for a, b in zip(edges, edges[1:]):
-                yield from compared(*(x[a:b] for x in rest[1:]), *rest[0][a, 1:].tolist())
+                yield from compared(*(x[a:b] for x in rest[1:]), *rest[0][a].tolist())
             rest = [x[edges[-1] :] for x in rest]
 
     return run
@@ -403,26 +419,31 @@ def _and_none(batches):
     yield None
 
 
-def _all_pairs(texts: DataFrame, roots: DataFrame, most: int, most_checked: int, most_in_node: int) -> DataFrame:
-    """u, v: all pairs of texts (text_id, lanes) with different roots (node, root) that meet in a node and are near.
+def _rooted(placed: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """placed with root (a text's own id where it has no link), and for each node with more than one root: at, common (its
+    commonest root), n (members), most (members of that root)."""
+    rooted = placed.join(roots.withColumnRenamed("node", "of"), F.col("text_id") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "text_id"))
+    by_root = rooted.groupBy("node", "root").agg(F.count("*").alias("n"))
+    nodes = by_root.groupBy(F.col("node").alias("at")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    return rooted, nodes.select("at", F.col("most.root").alias("common"), "n", F.col("most.n").alias("most")).filter("n > most")
+
+
+def _all_pairs(placed: DataFrame, roots: DataFrame, most: int, most_checked: int, most_in_node: int) -> DataFrame:
+    """u, v: all pairs of texts (node, text_id, lanes) with different roots (node, root) that meet in a node and are near, each once.
 
     A node is cut into blocks of half of most_in_node, those of its commonest root apart from the others, and each
     block of the others is compared with all. No node is left out and none is held whole.
     """
-    rooted = texts.join(roots, F.col("text_id") == F.col("node"), "left").select("text_id", F.coalesce("root", "text_id").alias("root"), *SOUGHT, *CHECKED)
-    placed = rooted.select("text_id", *SOUGHT, *CHECKED).mapInArrow(_place_similar, ", ".join(f"{n} bigint" for n in ("node", "text_id", "fp", *CHECKED)))
-    placed = stage(placed.join(rooted.select(F.col("text_id").alias("of"), "root"), F.col("text_id") == F.col("of")).drop("of"), "many")
     half = max(1, most_in_node // 2)
-    by_root = placed.groupBy("node", "root").agg(F.count("*").alias("n"))
-    nodes = by_root.groupBy(F.col("node").alias("at")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
     blocks = lambda n: F.ceil(n / F.lit(half))
-    nodes = nodes.select("at", F.col("most.root").alias("common"), blocks(F.col("n") - F.col("most.n")).alias("others"), blocks(F.col("most.n")).alias("commons")).filter("others > 0")
+    rooted, nodes = _rooted(placed, roots)
+    nodes = nodes.select("at", "common", blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("commons"))
     own = F.when(F.col("root") == F.col("common"), F.col("others") + F.pmod(F.xxhash64("text_id"), "commons")).otherwise(F.pmod(F.xxhash64("text_id"), "others"))
     last = F.when(F.col("root") == F.col("common"), F.col("others") - 1).otherwise(F.col("others") + F.col("commons") - 1)
-    dealt = placed.join(nodes, F.col("node") == F.col("at")).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    dealt = dealt.select("node", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "text_id", "root", "fp", *CHECKED)
+    dealt = rooted.join(nodes, F.col("node") == F.col("at")).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = dealt.select("node", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "text_id", "root", *SOUGHT, *CHECKED)
     dealt = dealt.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high")
-    return dealt.mapInArrow(_block_pairs(most, most_checked), "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(_block_pairs(most, most_checked), "u bigint, v bigint")
 
 
 def shingle_sets(table: DataFrame, row: str, wanted: DataFrame, words: int, text_col: str = "text") -> DataFrame:
@@ -456,8 +477,8 @@ def similar_links(texts: DataFrame, known: DataFrame, sets_of, similarity: float
     first, and then all pairs that those and known ones don't tie, block by block.
     """
     lanes = (*SOUGHT, *CHECKED)
-    placed = texts.select("text_id", *lanes).mapInArrow(_place_similar, ", ".join(f"{n} bigint" for n in ("node", "text_id", "fp", *CHECKED)))
-    dealt = placed.repartition("node").sortWithinPartitions("node")
+    placed = texts.select("text_id", *lanes).mapInArrow(_place_similar, ", ".join(f"{n} bigint" for n in ("node", "text_id", *SOUGHT, *CHECKED)))
+    dealt = placed.drop(*SOUGHT[1:]).repartition("node").sortWithinPartitions("node")
     out = stage(dealt.mapInArrow(_node_candidates(most, most_checked, most_in_node), "u bigint, v bigint, many boolean"), "similar")
     some = out.filter("many and v is not null").groupBy("u").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("vs"))
     pairs = stage(out.filter("not many").select("u", "v").unionByName(some.select("u", F.explode("vs").alias("v"))).distinct(), "pairs")
@@ -469,11 +490,13 @@ def similar_links(texts: DataFrame, known: DataFrame, sets_of, similarity: float
             unstage(done)
         return found
     left = texts.join(many.withColumnRenamed("text_id", "of"), F.col("text_id") == F.col("of"), "left_semi")
-    rest = stage(_all_pairs(left, components(known.unionByName(found)), most, most_checked, most_in_node), "rest")
-    more = stage(_similar(rest, sets, similarity), "more")
-    for done in (out, pairs, many, sets, rest):
+    at_nodes = stage(left.select("text_id", *lanes).mapInArrow(_place_similar, ", ".join(f"{n} bigint" for n in ("node", "text_id", *SOUGHT, *CHECKED))), "many")
+    roots = components(known.unionByName(found))
+    rest = stage(_all_pairs(at_nodes, roots, most, most_checked, most_in_node), "rest")
+    last = stage(_similar(rest, sets, similarity), "last")
+    for done in (out, pairs, many, sets, rest, at_nodes):
         unstage(done)
-    return found.unionByName(more)
+    return found.unionByName(last)
 
 
 def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:

@@ -77,3 +77,23 @@ def test_texts_of_one_fingerprint_keep_their_own_lanes(spark):
     known = spark.createDataFrame([], "u long, v long")
     links = simhash.similar_links(texts, known, lambda ids: sets, 0.8, 16, 47)
     assert {(x.node, x.root) for x in components.components(links).collect()} == {(2, 2), (3, 2)}
+
+
+def test_pairs_are_given_where_they_first_meet():
+    """Each pair that agrees in two blocks of a lane has one first node among all it meets in."""
+    r = np.random.default_rng(6)
+    a = r.integers(0, 2**63, (300, 2), dtype=np.uint64)
+    b = a.copy()
+    for k in range(300):
+        for lane in range(2):
+            for block in r.choice(8, r.integers(3, 8), replace=False):
+                b[k, lane] ^= np.uint64(int(r.integers(1, 256)) << 8 * int(block))
+    met = np.zeros(300, int)
+    first = np.zeros(300, int)
+    for lane in range(2):
+        nodes = [simhash._placed(x[:, lane], simhash.FINE_BLOCKS, simhash.FRONT)[0] ^ np.uint64(lane << 62) for x in (a, b)]
+        for at, (x, y) in enumerate(zip(*(n.reshape(-1, 300) for n in nodes))):
+            for k in np.flatnonzero(x == y):
+                met[k] += 1
+                first[k] += simhash._first_meeting(int(x[k]), (a[k] ^ b[k])[None, :])[0]
+    assert met.max() > 1 and (first == (met > 0)).all()
