@@ -69,17 +69,19 @@ def dataset_subset(v: Views) -> DataFrame:
     return d.subset(v.cells.filter("grp = 'BUILDING'"), chosen).counts
 
 
-@query("counts", """+x AS (SELECT region_id, cell_id || '___' || CASE WHEN cell_id % 2 = 0 THEN 'p' ELSE 'p_1' END AS cell_id, n FROM counts)
-    SELECT region_id, sum(n)::BIGINT AS nr_frag, count(*) AS nr_acc, count(DISTINCT split_part(cell_id, '___', 2)) AS samples FROM x GROUP BY region_id""")
+@query("counts", """+x AS (SELECT region_id, cell_id || '___' || CASE cell_id % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'p_1' ELSE 'p_2' END AS cell_id, n FROM counts)
+    SELECT region_id, 'c' AS chrom, region_id AS lo, region_id + 1 AS hi, 1::INTEGER AS width, sum(n)::BIGINT AS nr_frag, count(*) AS nr_acc, count(DISTINCT split_part(cell_id, '___', 2)) AS samples FROM x GROUP BY region_id""")
 def dataset_merge(v: Views) -> DataFrame:
+    """Three datasets of one name; regions that only the second or third has keep their coordinates."""
+
     def part(k: int) -> dataset.Dataset:
-        c = v.counts.filter(F.col("cell_id") % 2 == k).select(F.col("region_id"), F.concat(F.col("cell_id").cast("string"), F.lit("___p")).alias("cell_id"), "n")
+        c = v.counts.filter(F.col("cell_id") % 3 == k).select(F.col("region_id"), F.concat(F.col("cell_id").cast("string"), F.lit("___p")).alias("cell_id"), "n")
         r = dataset.region_stats(c).withColumns({"chrom": F.lit("c"), "lo": F.col("region_id"), "hi": F.col("region_id") + 1, "width": F.lit(1)})
         return dataset.Dataset(c, dataset.cell_stats(c), r, "p")
 
-    both = part(0).merge(part(1))
-    samples = both.counts.groupBy("region_id").agg(F.count_distinct(F.split_part("cell_id", F.lit("___"), F.lit(2))).alias("samples"))
-    return both.regions.select("region_id", "nr_frag", "nr_acc").join(samples, "region_id")
+    merged = part(0).merge(part(1), part(2))
+    samples = merged.counts.groupBy("region_id").agg(F.count_distinct(F.split_part("cell_id", F.lit("___"), F.lit(2))).alias("samples"))
+    return merged.regions.select("region_id", "chrom", "lo", "hi", "width", "nr_frag", "nr_acc").join(samples, "region_id")
 
 
 @query("counts cells", "SELECT c.cell_id, c.grp, c.cell_name, s.nr_frag FROM cells c LEFT JOIN (SELECT cell_id, sum(n)::BIGINT AS nr_frag FROM counts GROUP BY 1) s USING (cell_id)")

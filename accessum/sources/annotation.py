@@ -11,7 +11,14 @@ from ..functions.regions import strand_of
 TSS_COLUMNS = ("# Chromosome", "Start", "End", "Gene", "Score", "Strand", "Transcript_type")
 TSS_NAMES = ("chrom", "lo", "hi", "gene", "score", "strand", "transcript_type")
 ALIASES = ("ucsc", "ensembl", "refseq", "genbank")
-_PATTERNS = {"ucsc": r"^chr", "genbank": r"^[A-Z]{1,2}[0-9]{5,8}\.[0-9]+$|^[A-Z]{4,6}[0-9]{8,}\.[0-9]+$", "refseq": r"^(NC|NT|NW|NG|NZ)_[0-9]+\.[0-9]+$"}
+#: Forms of names, from the public descriptions of accession numbers. GenBank's are 1 letter and 5 digits, 2
+#: letters and 6 or 8 digits, or for shotgun assemblies 4 letters and 8 digits or more, or 6 and 9 or more; RefSeq's genomic
+#: ones are a prefix, an underscore and digits or a shotgun accession. Both end with a version.
+_PATTERNS = {
+    "ucsc": r"^chr",
+    "genbank": r"^([A-Z][0-9]{5}|[A-Z]{2}[0-9]{6}|[A-Z]{2}[0-9]{8}|[A-Z]{4}[0-9]{8,}|[A-Z]{6}[0-9]{9,})\.[0-9]+$",
+    "refseq": r"^(AC|NC|NG|NT|NW|NZ)_([0-9]{6,}|[A-Z]{4}[0-9]{8,}|[A-Z]{6}[0-9]{9,})\.[0-9]+$",
+}
 
 
 def read_tss(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from accessum.functions import stats
 from accessum.functions.regions import ratio
-from accessum.operators import density, diff, embed, models, peaks, thresholds, topics
+from accessum.operators import dataset, density, diff, embed, models, peaks, thresholds, topics
 
 
 def test_ieee_ratio(spark):
@@ -142,3 +142,34 @@ def test_imputation_blocks_and_binarization(spark):
     assert topics.binarized(tr, "region_id", "ntop", ntop=3).count() == 6
     with pytest.raises(ValueError):
         topics.cutoffs(tr, "region_id", "guess")
+
+
+def test_communities_are_the_plain_rounds(spark):
+    """Two crowds with few links between them, a chain, and a pair; rounds until labels stand or swap to and fro."""
+    r = np.random.default_rng(8)
+    links = {(min(a, b), max(a, b)) for k in (0, 100) for a, b in (r.integers(0, 30, (150, 2)) + k).tolist() if a != b} | {(3, 104), (500, 501)} | {(600 + i, 601 + i) for i in range(9)}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    label, before = {a: a for a in near}, []
+    while True:
+        new = {}
+        for a, others in near.items():
+            votes = [label[b] for b in others] + [label[a]]
+            new[a] = min(set(votes), key=lambda x: (-votes.count(x), x))
+        before.append(new)
+        label = new
+        if new in before[-3:-1]:
+            break
+    df = spark.createDataFrame(sorted(links), "a long, b long")
+    assert {x.cell_id: x.community for x in embed.communities(df).collect()} == label
+
+
+def test_merge_of_three_keeps_coordinates(spark):
+    parts = []
+    for k, ids in enumerate((["c1:0-10", "c1:5-20"], ["c1:5-20", "c2:1-4"], ["c2:1-4", "c3:7-9"])):
+        counts = spark.createDataFrame([(x, f"cell{k}{i}", 1 + i) for x in ids for i in range(2)], "region_id string, cell_id string, n int")
+        parts.append(dataset.Dataset.create(counts, "p"))
+    got = {x.region_id: (x.chrom, x.lo, x.hi, x.width, x.nr_frag) for x in parts[0].merge(*parts[1:]).regions.collect()}
+    assert got == {"c1:0-10": ("c1", 0, 10, 10, 3), "c1:5-20": ("c1", 5, 20, 15, 6), "c2:1-4": ("c2", 1, 4, 3, 6), "c3:7-9": ("c3", 7, 9, 2, 3)}
