@@ -126,12 +126,16 @@ def _place(batches):
 
 
 def _place_similar(batches):
-    """node, text_id, SOUGHT and CHECKED lanes: where the fingerprints of both SOUGHT lanes stand for each choice of fine blocks."""
+    """node and the rows' own columns: where the fingerprints of both SOUGHT lanes stand for each choice of fine blocks."""
     for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         for lane in range(len(SOUGHT)):
-            node, at, _ = _placed(batch.column(1 + lane).to_numpy().view(np.uint64), FINE_BLOCKS, FRONT)
+            node, at, _ = _placed(batch.column(SOUGHT[lane]).to_numpy().view(np.uint64), FINE_BLOCKS, FRONT)
             kept = [c.take(pa.array(at)) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([pa.array((node ^ np.uint64(lane << 62)).view(np.int64)), *kept], ["node", "text_id", *SOUGHT, *CHECKED])
+            yield pa.RecordBatch.from_arrays([pa.array((node ^ np.uint64(lane << 62)).view(np.int64)), *kept], ["node", *batch.schema.names])
+
+
+def _at_nodes(texts: DataFrame) -> DataFrame:
+    return texts.mapInArrow(_place_similar, ", ".join(["node bigint", *(f"{n} {t}" for n, t in texts.dtypes)]))
 
 
 def _near(v: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, most_checked: int) -> np.ndarray:
@@ -374,11 +378,27 @@ def _first_meeting(node: int, apart: np.ndarray) -> np.ndarray:
     return first
 
 
-def _block_pairs(most: int, most_checked: int):
+def _counts(shingles: np.ndarray) -> bytes | None:
+    """How many of a set's hashes have each first byte, a byte for each; None where one is over 255."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these counts (a row of 256 for each; all zero if unknown) may have the given Jaccard similarity.
+
+    Sets share no more elements than the lesser count of each first byte, so none that has it is denied.
+    """
+    sizes, shared = (x.sum(1, dtype=np.int64) for x in (np.concatenate([a, b], 1), np.minimum(a, b)))
+    return (shared * (1 + similarity) >= similarity * sizes - 1e-6) | ~a.any(1) | ~b.any(1)
+
+
+def _block_pairs(most: int, most_checked: int, similarity: float):
     """Candidate pairs (u, v) of text ids with different roots, a block of a node against a block: rows (node, low, high,
-    block, text_id, root, lanes) come sorted by the first four. A pair that meets in several nodes is given once."""
+    block, text_id, root, counts, lanes) come sorted by the first four. A pair that meets in several nodes is given once,
+    and none whose counts of shingles rule the similarity out."""
 
-    def compared(block, ids, root, v, node, low, high):
+    def compared(block, ids, root, counts, v, node, low, high):
         sought, v = v[:, : len(SOUGHT)], np.delete(v, slice(1, len(SOUGHT)), 1)
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         for at in range(0, len(left), 128):
@@ -390,17 +410,22 @@ def _block_pairs(most: int, most_checked: int):
             near = np.flatnonzero(_near(v, i, j, most, most_checked))
             i, j = i[near], j[near]
             once = _first_meeting(node, sought[i] ^ sought[j])
-            u, w = ids[i[once]], ids[j[once]]
-            if len(u):
+            i, j = i[once], j[once]
+            may = [_may_be_similar(counts[i[k : k + 4096]], counts[j[k : k + 4096]], similarity) for k in range(0, len(i), 4096)]
+            if may and (may := np.concatenate(may)).any():
+                u, w = ids[i[may]], ids[j[may]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)), pa.array(np.maximum(u, w))], ["u", "v"])
 
+    def known(counts: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(counts.fill_null(bytes(256)).to_pylist()), np.uint8).reshape(-1, 256)
+
     def run(batches):
         rest = None
         for batch in _and_none(batches):
             if batch is not None and not batch.num_rows:
                 continue
             if batch is not None:
-                now = [np.stack([c.to_numpy() for c in batch.columns[:3]], 1), *(batch.column(i).to_numpy() for i in (3, 4, 5)), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[6:]], 1)]
+                now = [np.stack([c.to_numpy() for c in batch.columns[:3]], 1), *(batch.column(i).to_numpy() for i in (3, 4, 5)), known(batch.column(6)), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[7:]], 1)]
                 rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
             if rest is None:
                 continue
@@ -419,44 +444,44 @@ def _and_none(batches):
     yield None
 
 
-def _rooted(placed: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """placed with root (a text's own id where it has no link), and for each node with more than one root: at, common (its
-    commonest root), n (members), most (members of that root)."""
-    rooted = placed.join(roots.withColumnRenamed("node", "of"), F.col("text_id") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "text_id"))
+def _mixed_nodes(rooted: DataFrame) -> DataFrame:
+    """For each node with more than one root: at, common (its commonest root), n (members), most (members of that root)."""
     by_root = rooted.groupBy("node", "root").agg(F.count("*").alias("n"))
     nodes = by_root.groupBy(F.col("node").alias("at")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
-    return rooted, nodes.select("at", F.col("most.root").alias("common"), "n", F.col("most.n").alias("most")).filter("n > most")
+    return nodes.select("at", F.col("most.root").alias("common"), "n", F.col("most.n").alias("most")).filter("n > most")
 
 
-def _all_pairs(placed: DataFrame, roots: DataFrame, most: int, most_checked: int, most_in_node: int) -> DataFrame:
-    """u, v: all pairs of texts (node, text_id, lanes) with different roots (node, root) that meet in a node and are near, each once.
+def _all_pairs(rooted: DataFrame, most: int, most_checked: int, similarity: float, most_in_node: int) -> DataFrame:
+    """u, v: all pairs of texts (node, text_id, root, counts, lanes) with different roots that meet in a node and are
+    near, each once, but for those that the counts of their shingles rule out.
 
     A node is cut into blocks of half of most_in_node, those of its commonest root apart from the others, and each
     block of the others is compared with all. No node is left out and none is held whole.
     """
     half = max(1, most_in_node // 2)
     blocks = lambda n: F.ceil(n / F.lit(half))
-    rooted, nodes = _rooted(placed, roots)
-    nodes = nodes.select("at", "common", blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("commons"))
+    nodes = _mixed_nodes(rooted).select("at", "common", blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("commons"))
     own = F.when(F.col("root") == F.col("common"), F.col("others") + F.pmod(F.xxhash64("text_id"), "commons")).otherwise(F.pmod(F.xxhash64("text_id"), "others"))
     last = F.when(F.col("root") == F.col("common"), F.col("others") - 1).otherwise(F.col("others") + F.col("commons") - 1)
     dealt = rooted.join(nodes, F.col("node") == F.col("at")).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    dealt = dealt.select("node", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "text_id", "root", *SOUGHT, *CHECKED)
+    dealt = dealt.select("node", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "text_id", "root", "counts", *SOUGHT, *CHECKED)
     dealt = dealt.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high")
-    return dealt.mapInArrow(_block_pairs(most, most_checked), "u bigint, v bigint")
+    return dealt.mapInArrow(_block_pairs(most, most_checked, similarity), "u bigint, v bigint")
 
 
 def shingle_sets(table: DataFrame, row: str, wanted: DataFrame, words: int, text_col: str = "text") -> DataFrame:
-    """text_id, shingles: the distinct shingle hashes of the rows of a numbered() table that wanted (text_id, row_id) names."""
+    """text_id, shingles, counts: the distinct shingle hashes of the rows of a numbered() table that wanted (text_id,
+    row_id) names, and how many of them have each first byte."""
 
     def run(batches):
         for batch in in_pieces(batches, 1, 1 << 20):
-            sets = pa.array([np.unique(np.array(shingle_hashes(b.as_py(), words), np.uint64)).view(np.int64) for b in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["text_id", "shingles"])
+            sets = [np.unique(np.array(shingle_hashes(b.as_py(), words), np.uint64)) for b in batch.column(1)]
+            shingles = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), shingles, pa.array([_counts(x) for x in sets], pa.binary())], ["text_id", "shingles", "counts"])
 
     texts = table.select(F.col(row).alias("row"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("body"))
     named = texts.join(wanted.hint("shuffle_hash"), F.col("row") == F.col("row_id")).select("text_id", "body")
-    return named.mapInArrow(run, "text_id bigint, shingles array<bigint>")
+    return named.mapInArrow(run, "text_id bigint, shingles array<bigint>, counts binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -469,7 +494,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_links(texts: DataFrame, known: DataFrame, sets_of, similarity: float, most: int, most_checked: int, most_in_node: int = MOST_IN_NODE) -> DataFrame:
     """u, v: links of texts (text_id, SOUGHT and CHECKED lanes) of the given similarity, compared exactly by the shingles
-    that sets_of gives for a table of text ids.
+    (and their counts) that sets_of gives for a table of text ids.
 
     Candidates agree in FRONT of FINE_BLOCKS blocks of a SOUGHT lane, and differ in `most` bits of the first lane and
     most_checked bits of the CHECKED ones at most. Links and known ones (u, v) together tie all candidates of that
@@ -477,8 +502,7 @@ def similar_links(texts: DataFrame, known: DataFrame, sets_of, similarity: float
     first, and then all pairs that those and known ones don't tie, block by block.
     """
     lanes = (*SOUGHT, *CHECKED)
-    placed = texts.select("text_id", *lanes).mapInArrow(_place_similar, ", ".join(f"{n} bigint" for n in ("node", "text_id", *SOUGHT, *CHECKED)))
-    dealt = placed.drop(*SOUGHT[1:]).repartition("node").sortWithinPartitions("node")
+    dealt = _at_nodes(texts.select("text_id", *lanes)).drop(*SOUGHT[1:]).repartition("node").sortWithinPartitions("node")
     out = stage(dealt.mapInArrow(_node_candidates(most, most_checked, most_in_node), "u bigint, v bigint, many boolean"), "similar")
     some = out.filter("many and v is not null").groupBy("u").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("vs"))
     pairs = stage(out.filter("not many").select("u", "v").unionByName(some.select("u", F.explode("vs").alias("v"))).distinct(), "pairs")
@@ -490,9 +514,11 @@ def similar_links(texts: DataFrame, known: DataFrame, sets_of, similarity: float
             unstage(done)
         return found
     left = texts.join(many.withColumnRenamed("text_id", "of"), F.col("text_id") == F.col("of"), "left_semi")
-    at_nodes = stage(left.select("text_id", *lanes).mapInArrow(_place_similar, ", ".join(f"{n} bigint" for n in ("node", "text_id", *SOUGHT, *CHECKED))), "many")
-    roots = components(known.unionByName(found))
-    rest = stage(_all_pairs(at_nodes, roots, most, most_checked, most_in_node), "rest")
+    roots = components(known.unionByName(found)).withColumnRenamed("node", "of")
+    left = left.join(roots, F.col("text_id") == F.col("of"), "left").withColumn("root", F.coalesce("root", "text_id")).drop("of")
+    left = left.join(sets.select(F.col("text_id").alias("of"), "counts"), F.col("text_id") == F.col("of"), "left").select("text_id", "root", "counts", *lanes)
+    at_nodes = stage(_at_nodes(left), "many")
+    rest = stage(_all_pairs(at_nodes, most, most_checked, similarity, most_in_node), "rest")
     last = stage(_similar(rest, sets, similarity), "last")
     for done in (out, pairs, many, sets, rest, at_nodes):
         unstage(done)

@@ -97,3 +97,20 @@ def test_pairs_are_given_where_they_first_meet():
                 met[k] += 1
                 first[k] += simhash._first_meeting(int(x[k]), (a[k] ^ b[k])[None, :])[0]
     assert met.max() > 1 and (first == (met > 0)).all()
+
+
+@pytest.mark.parametrize("size", [0, 1, 5, 60, 700, 9000])
+def test_counts_of_shingles_deny_no_similar_sets(size):
+    r = np.random.default_rng(size)
+    for changed in (0, 1, size // 20, size // 10, size // 9, size // 4, size):
+        whole = np.unique(r.integers(0, 2**64, size, dtype=np.uint64))
+        other = np.unique(np.concatenate([whole[changed:], r.integers(0, 2**64, r.integers(0, changed + 1), dtype=np.uint64)]))
+        both = len(np.intersect1d(whole, other))
+        a, b = (np.frombuffer(simhash._counts(x) or bytes(256), np.uint8)[None] for x in (whole, other))
+        similar = both and both / (len(whole) + len(other) - both) >= 0.8
+        may = bool(simhash._may_be_similar(a, b, 0.8)[0])
+        assert may or not similar
+        if 60 <= size <= 700 and changed == size:
+            assert not may
+    flat = np.arange(300, dtype=np.uint64)  # one first byte, over 255 times
+    assert simhash._counts(flat) is None and simhash._may_be_similar(np.zeros((1, 256), np.uint8), a, 0.8)[0]
