@@ -41,11 +41,12 @@ def _best(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def otsu(df: DataFrame, value: str, keys: tuple[str, ...] = (), bins: int = BINS) -> DataFrame:
-    """keys, threshold: the bin centre that parts values with the largest variance between the two sides."""
+    """keys, threshold: the bin centre that parts values with the largest variance between the two sides; no row where all
+    values are one, as in yen() and li()."""
     keys, h = list(keys), histogram(df, value, keys, bins)
     below, above, _ = _sides(h, keys)
     weighted = F.col("n") * F.col("centre")
-    h = h.withColumns({"w1": F.sum("n").over(below), "w2": F.sum("n").over(above), "s1": F.sum(weighted).over(below), "s2": F.sum(weighted).over(above)}).filter("w2 > 0")
+    h = h.withColumns({"w1": F.sum("n").over(below), "w2": F.sum("n").over(above), "s1": F.sum(weighted).over(below), "s2": F.sum(weighted).over(above)}).filter("w1 > 0 and w2 > 0")
     apart = F.col("s1") / F.col("w1") - F.col("s2") / F.col("w2")
     return _best(h.withColumn("score", F.col("w1") * F.col("w2") * apart * apart), keys)
 
@@ -56,7 +57,7 @@ def yen(df: DataFrame, value: str, keys: tuple[str, ...] = (), bins: int = BINS)
     below, above, whole = _sides(h, keys)
     p = F.col("n") / F.sum("n").over(whole)
     h = h.withColumn("p", p).withColumn("pp", F.col("p") * F.col("p"))
-    h = h.withColumns({"p1": F.sum("p").over(below), "q1": F.sum("pp").over(below), "q2": F.sum("pp").over(above)}).filter("q2 > 0 and p1 < 1")
+    h = h.withColumns({"p1": F.sum("p").over(below), "q1": F.sum("pp").over(below), "q2": F.sum("pp").over(above)}).filter("q1 > 0 and q2 > 0 and p1 < 1")
     score = F.log(F.pow(F.col("p1") * (1 - F.col("p1")), 2) / (F.col("q1") * F.col("q2")))
     return _best(h.withColumn("score", score), keys)
 

@@ -207,11 +207,44 @@ def marker_bh(v: Views) -> DataFrame:
     return rounded(stats.benjamini_hochberg(p, ["k"], "p").select("region_id", "k", "adjusted"), "adjusted", digits=8)
 
 
-@query()
+#: Cells with many counts against those with few, and regions in 200 pools: groups that differ, so that both bounds
+#: keep some features and leave some out. The normal law's tail is by Simpson's rule on 200 steps from 0 to |z|, to some
+#: 1e-9, as DuckDB has no error function.
+_POOLED = """+pool AS (SELECT region_id % 200 AS region_id, cell_id, sum(n)::BIGINT AS n FROM counts GROUP BY ALL),
+    k AS (SELECT g.contrast, t.cell_id, (nr >= 45) = (g.contrast = 'many') AS fg FROM (SELECT cell_id, sum(n) AS nr FROM counts GROUP BY 1) t, (VALUES ('many'), ('few')) g(contrast)),
+    z AS (SELECT contrast, count(*) FILTER (WHERE fg) AS n1, count(*) FILTER (WHERE NOT fg) AS n2 FROM k GROUP BY 1),
+    x AS (SELECT r.region_id, k.contrast, k.fg, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT region_id FROM pool) r CROSS JOIN k LEFT JOIN pool c ON c.region_id = r.region_id AND c.cell_id = k.cell_id)"""
+_MARKERS = _POOLED + _Z.removeprefix(_CONTRASTS) + """,
+    tl AS (SELECT contrast, region_id, greatest(0, 1 - 2 * abs(z) / 600 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (z * i / 200) ^ 2))) AS p
+        FROM zz, range(201) t(i) GROUP BY contrast, region_id, z),
+    q AS (SELECT *, p * count(*) OVER (PARTITION BY contrast) / row_number() OVER (PARTITION BY contrast ORDER BY p) AS q FROM tl),
+    adj AS (SELECT *, least(1, min(q) OVER (PARTITION BY contrast ORDER BY p DESC)) AS adjusted_pval FROM q),
+    fc AS (SELECT contrast, region_id, log2((sum(n) FILTER (WHERE fg) / any_value(n1) + 1e-12) / (sum(n) FILTER (WHERE NOT fg) / any_value(n2) + 1e-12)) AS log2fc FROM x JOIN z USING (contrast) GROUP BY ALL)"""
+
+
+@query("counts", _MARKERS + " SELECT contrast, region_id, round(log2fc, 6) AS log2fc, round(adjusted_pval, 6) AS adjusted_pval FROM adj JOIN fc USING (contrast, region_id) WHERE adjusted_pval <= 0.05 AND log2fc >= 0.5849625007211562")
 def markers(v: Views) -> DataFrame:
-    """The normal law's tail isn't in SQL; tests hold it and the ranks against plain Python."""
-    out = diff.markers(v.counts.withColumnRenamed("n", "value"), diff.one_against_rest(v.cells, "grp"), adjusted=1.0)
-    return rounded(out, "log2fc", "adjusted_pval")
+    pools = v.counts.groupBy((F.col("region_id") % 200).alias("region_id"), "cell_id").agg(F.sum("n").alias("value"))
+    groups = dataset.cell_stats(v.counts).select("cell_id", F.when(F.col("nr_frag") >= 45, "many").otherwise("few").alias("grp"))
+    return rounded(diff.markers(pools, diff.one_against_rest(groups, "grp")), "log2fc", "adjusted_pval")
+
+
+@query("counts cells", """+k AS (SELECT 'two_against_one' AS contrast, cell_id, grp IN ('BUILDING', 'MACHINERY') AS fg FROM cells WHERE grp IN ('BUILDING', 'MACHINERY', 'FURNITURE')),
+    z AS (SELECT contrast, count(*) FILTER (WHERE fg) AS n1, count(*) FILTER (WHERE NOT fg) AS n2 FROM k GROUP BY 1),
+    x AS (SELECT r.region_id, k.contrast, k.fg, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT region_id FROM counts SEMI JOIN k USING (cell_id)) r CROSS JOIN k LEFT JOIN counts c ON c.region_id = r.region_id AND c.cell_id = k.cell_id)"""
+    + _Z.removeprefix(_CONTRASTS) + " SELECT contrast, region_id, round(log2((s1 / n1 + 1e-12) / (s2 / n2 + 1e-12)), 6) AS log2fc, round(z, 6) AS z FROM zz JOIN (SELECT contrast, region_id, coalesce(sum(n) FILTER (WHERE fg), 0) AS s1, coalesce(sum(n) FILTER (WHERE NOT fg), 0) AS s2 FROM x GROUP BY ALL) USING (contrast, region_id) JOIN z USING (contrast)")
+def marker_given_contrast(v: Views) -> DataFrame:
+    """Two groups against a third one; cells of the others stay out."""
+    contrast = diff.contrast_of(v.cells, "grp", "two_against_one", ["BUILDING", "MACHINERY"], ["FURNITURE"])
+    return rounded(diff.marker_statistics(v.counts.withColumnRenamed("n", "value"), contrast), "log2fc", "z")
+
+
+@query("counts regions", "SELECT r.region_id, r.nr_acc, g.chrom AS source FROM (SELECT region_id, count(*) AS nr_acc FROM counts GROUP BY 1) r LEFT JOIN (SELECT rid, chrom FROM regions WHERE rid % 3 > 0) g ON r.region_id = g.rid")
+def region_metadata_join(v: Views) -> DataFrame:
+    """Columns added to regions by key; a region without metadata stays."""
+    more = v.regions.filter("rid % 3 > 0").select(F.col("rid").alias("region_id"), F.col("chrom").alias("source"))
+    d = dataset.Dataset(v.counts, dataset.cell_stats(v.counts), dataset.region_stats(v.counts)).add_region_data(more)
+    return d.regions.select("region_id", "nr_acc", "source")
 
 
 _ONCE = """+o AS (SELECT * FROM genes QUALIFY row_number() OVER (PARTITION BY chrom, lo, hi, strand ORDER BY rid) = 1),
@@ -245,6 +278,16 @@ def gene_region_weights(v: Views) -> DataFrame:
     return rounded(genes.region_weights(v.regions, v.genes, v.chromsizes).select("region_id", "gene", "weight"), "weight")
 
 
+@query("genes chromsizes regions counts", _DIST + """, gi AS (SELECT region_id, sum(n) AS t, sum(n * i) AS s, count(*) AS m FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY n) AS i FROM counts) GROUP BY 1)
+    SELECT region_id, gene, round(weight * (exp(1 - (2 * s - (m + 1) * t) / (m * t)) + exp(-1)), 6) AS weight FROM wt JOIN gi USING (region_id)
+    WHERE distance = 0 OR region_id NOT IN (SELECT r.rid FROM regions r JOIN pr ON r.chrom = pr.chrom AND r.lo < pr.hi AND pr.lo < r.hi)""")
+def gene_region_weights_even(v: Views) -> DataFrame:
+    """Weights that favour regions which few cells have, without promoters of other genes."""
+    even = stats.gini(v.counts, "region_id", "n")
+    out = genes.region_weights(v.regions, v.genes, v.chromsizes, ginis=even, remove_promoters=True)
+    return rounded(out.select("region_id", "gene", "weight"), "weight")
+
+
 @query("genes chromsizes regions counts", _DIST + """, lk AS (SELECT gene, count(*) AS links FROM wt GROUP BY 1)
     SELECT gene, cell_id, round(sum(n * weight) / any_value(links), 6) AS value FROM counts JOIN wt USING (region_id) JOIN lk USING (gene) GROUP BY gene, cell_id""")
 def gene_activity(v: Views) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,14 +127,14 @@ def tss_enrichment_per_cell(v: Views) -> DataFrame:
 
 def _histogram(source: str, value: str, bins: int) -> str:
     """CTE h: bin, n, centre of an expression over a table with rows."""
-    return f"""v AS (SELECT ({value})::DOUBLE AS x FROM {source}), r AS (SELECT min(x) AS low, max(x) AS high FROM v),
+    return f"""v AS (SELECT ({value})::DOUBLE AS x FROM {source}), r AS (SELECT min(x) - CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS low, max(x) + CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS high FROM v),
         c AS (SELECT least(floor((x - low) * {bins} / (high - low)), {bins - 1})::INTEGER AS bin, count(*) AS n FROM v, r GROUP BY 1),
-        h AS (SELECT b::INTEGER AS bin, coalesce(n, 0) AS n, low + (b + 0.5) * ((high - low) / {bins}) AS centre FROM r, range({bins}) t(b) LEFT JOIN c ON c.bin = b)"""
+        h AS (SELECT b::INTEGER AS bin, coalesce(n, 0) AS n, low + (b + 0.5) * ((high - low) / {bins}) AS centre FROM r, range({bins}) t(b) LEFT JOIN c ON c.bin = b WHERE low IS NOT NULL)"""
 
 
 _OTSU = """w AS (SELECT bin, centre, sum(n) OVER b AS w1, sum(n) OVER a AS w2, sum(n * centre) OVER b AS s1, sum(n * centre) OVER a AS s2 FROM h
         WINDOW b AS (ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
-_OTSU_PICK = "SELECT round(centre, 6) AS threshold FROM w WHERE w2 > 0 ORDER BY round(w1 * w2 * (s1 / w1 - s2 / w2) ^ 2, 3) DESC, bin LIMIT 1"
+_OTSU_PICK = "SELECT round(centre, 6) AS threshold FROM w WHERE w1 > 0 AND w2 > 0 ORDER BY round(w1 * w2 * (s1 / w1 - s2 / w2) ^ 2, 3) DESC, bin LIMIT 1"
 
 
 @query("fragments", _STATS + ", " + _histogram("stats", "unique_fragments_count", 50) + " SELECT bin, n, round(centre, 6) AS centre FROM h")
@@ -153,15 +155,42 @@ def barcodes_passing_thresholds(v: Views) -> DataFrame:
     return qc.passing(stats, None, 60, 0, 0.1)
 
 
-@query()
+_MEASURES = ("tss_enrichment", "fraction_of_fragments_in_peaks", "duplication_ratio")
+_QC = _FRIP + ", " + _CUTS.format(last=1).removeprefix("+") + ", keyed AS (SELECT cb AS k, position, n FROM cuts)" + _PROFILE + """,
+    te AS (SELECT k AS cb, avg(normalised) AS tss_enrichment FROM prof WHERE position BETWEEN -50 AND 50 GROUP BY k),
+    qc AS (SELECT frip.*, """ + ", ".join(f"log10({c} + 1) AS log10_{c}" for c in qc.COUNTS) + """, coalesce(tss_enrichment, 0::DOUBLE) AS tss_enrichment FROM frip LEFT JOIN te USING (cb))"""
+_DENSITIES = ", pts AS (" + " UNION ALL ".join(f"SELECT '{m}' AS m, cb, log10_unique_fragments_count AS x, {m} AS y FROM qc" for m in _MEASURES) + """),
+    kv AS (SELECT m, count(*) AS n, var_samp(x) * count(*) ^ (-1.0 / 3) AS a, covar_samp(x, y) * count(*) ^ (-1.0 / 3) AS b, var_samp(y) * count(*) ^ (-1.0 / 3) AS c FROM pts GROUP BY m HAVING count(*) > 1),
+    kd AS (SELECT *, a * c - b * b AS det FROM kv WHERE a * c - b * b > 0),
+    dens AS (SELECT m, p.cb, sum(exp(-0.5 * (c * (p.x - q.x) ^ 2 - 2 * b * (p.x - q.x) * (p.y - q.y) + a * (p.y - q.y) ^ 2) / det)) / (2 * pi() * sqrt(any_value(det)) * any_value(n)) AS density
+        FROM pts p JOIN pts q USING (m) JOIN kd USING (m) GROUP BY m, p.cb),
+    wide AS (SELECT cb, """ + ", ".join(f"max(density) FILTER (WHERE m = '{m}') AS density_{m}" for m in _MEASURES) + " FROM dens GROUP BY cb)"
+_REAL = ("duplication_ratio", "nucleosome_signal", "fraction_of_fragments_in_peaks", "tss_enrichment", *(f"log10_{c}" for c in qc.COUNTS))
+
+
+@query("fragments regions tss", _QC + _DENSITIES + " SELECT qc.* REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in _REAL) + "), " + ", ".join(f"round(density_{m}, 5) AS density_{m}" for m in _MEASURES) + " FROM qc LEFT JOIN wide USING (cb)")
 def barcode_qc(v: Views) -> DataFrame:
-    """All measures with densities: rows and columns as the tables ask; the densities are held against numpy in tests."""
-    return qc.barcode_qc(v.fragments, v.regions, v.tss)
+    """All measures of every barcode, with the densities of three of them."""
+    out = rounded(qc.barcode_qc(v.fragments, v.regions, v.tss), *_REAL)
+    return rounded(out, *(f"density_{m}" for m in _MEASURES), digits=5)
+
+
+def _otsu_of(value: str, where: str, p: str, bins: int = 5000) -> str:
+    """CTEs named by the prefix p, up to {p}w: Otsu's sums of an expression over qc."""
+    text = _histogram(f"qc WHERE {where}", value, bins) + ", " + _OTSU
+    for name in ("v", "r", "c", "h", "w"):
+        text = re.sub(rf"(?<![\w.(]){name} AS \(SELECT", f"{p}{name} AS (SELECT", text)
+        text = re.sub(rf"\b(FROM|JOIN|,) {name}\b(?! AS)", rf"\1 {p}{name}", text)
+    return text.replace("ON c.bin", f"ON {p}c.bin")
+
+
+_CUT = "(SELECT centre FROM {0}w WHERE w1 > 0 AND w2 > 0 ORDER BY round(w1 * w2 * (s1 / w1 - s2 / w2) ^ 2, 3) DESC, bin LIMIT 1)"
 
 
-@query()
+@query("fragments regions tss", _QC + ", " + _otsu_of("log10(unique_fragments_count)", "unique_fragments_count >= 10", "f") + ", " + _otsu_of("tss_enrichment", "tss_enrichment >= 0", "t")
+    + f" SELECT round(10 ^ {_CUT.format('f')}, 6) AS unique_fragments, round({_CUT.format('t')}, 6) AS tss_enrichment")
 def otsu_qc_thresholds(v: Views) -> DataFrame:
-    return qc.otsu_thresholds(qc.barcode_qc(v.fragments, v.regions, v.tss, densities=False), 10, 0.0)
+    return rounded(qc.otsu_thresholds(qc.barcode_qc(v.fragments, v.regions, v.tss, densities=False), 10, 0.0), "unique_fragments", "tss_enrichment")
 
 
 @query("fragments regions", _FRIP + """, u AS (SELECT cb, log10(unique_fragments_count) AS x, fraction_of_fragments_in_peaks AS y FROM frip),

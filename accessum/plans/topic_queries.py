@@ -227,14 +227,22 @@ def topic_cosine_density(v: Views) -> DataFrame:
     return rounded(models.cosine_density(v.topic_region), "density")
 
 
-@query("topic_region counts", """+b AS (SELECT topic, region_id, row_number() OVER (PARTITION BY topic ORDER BY p DESC, region_id) AS i FROM topic_region QUALIFY i <= 20),
+_COHERENCE = """+b AS (SELECT topic, region_id, row_number() OVER (PARTITION BY topic ORDER BY p DESC, region_id) AS i FROM topic_region QUALIFY i <= 20),
     s AS (SELECT topic, i, cell_id FROM b JOIN counts USING (region_id)), n AS (SELECT topic, i, count(*) AS n FROM s GROUP BY ALL),
-    d AS (SELECT a.topic, a.i, b.i AS j, count(*) AS d FROM s a JOIN s b ON a.topic = b.topic AND a.cell_id = b.cell_id AND a.i < b.i GROUP BY ALL)
-    SELECT x.topic, round(avg(ln((coalesce(d, 0) + 1) / x.n)), 6) AS coherence FROM n x JOIN n y ON x.topic = y.topic AND x.i < y.i LEFT JOIN d ON d.topic = x.topic AND d.i = x.i AND d.j = y.i GROUP BY x.topic""")
+    d AS (SELECT a.topic, a.i, b.i AS j, count(*) AS d FROM s a JOIN s b ON a.topic = b.topic AND a.cell_id = b.cell_id AND a.i < b.i GROUP BY ALL),
+    co AS (SELECT x.topic, avg(ln((coalesce(d, 0) + 1) / x.n)) AS coherence FROM n x JOIN n y ON x.topic = y.topic AND x.i < y.i LEFT JOIN d ON d.topic = x.topic AND d.i = x.i AND d.j = y.i GROUP BY x.topic)"""
+
+
+@query("topic_region counts", _COHERENCE + " SELECT topic, round(coherence, 6) AS coherence FROM co")
 def topic_coherence(v: Views) -> DataFrame:
     return rounded(models.coherence(v.topic_region, v.counts), "coherence")
 
 
+@query("topic_region counts", _COHERENCE + " SELECT round(avg(coherence), 6) AS coherence FROM (SELECT coherence FROM co ORDER BY coherence DESC LIMIT 5)")
+def topic_coherence_best(v: Views) -> DataFrame:
+    return rounded(models.mean_of_best(models.coherence(v.topic_region, v.counts)), "coherence")
+
+
 @query("counts", """+t AS (SELECT region_id, (region_id + cell_id) % 4 AS topic, cell_id, n FROM counts), r AS (SELECT region_id, topic, sum(n) AS n FROM t GROUP BY ALL), c AS (SELECT cell_id, topic, sum(n) AS n FROM t GROUP BY ALL),
     k AS (SELECT count(DISTINCT region_id) AS w FROM counts),
     a AS (SELECT topic, sum(lgamma(n + 0.1) - lgamma(0.1)) AS a, sum(n) AS t FROM r GROUP BY 1), wl AS (SELECT sum(a - lgamma(t + 0.1 * w) + lgamma(0.1 * w)) AS x FROM a, k),

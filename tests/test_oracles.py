@@ -35,8 +35,10 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_without_sql(spark, name):
+    """Their values are held in test_statistics.py and test_lda_passes.py; here all columns are computed."""
     df = catalogue.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    assert rows and len(set(rows)) == len(rows)
 
 
 def test_entry(spark):

@@ -44,6 +44,14 @@ def test_thresholds_against_numpy(spark):
         assert got["li"][k] == pytest.approx(min(best)[1], abs=1e-6)
 
 
+def test_thresholds_of_one_value(spark):
+    df = spark.createDataFrame([("one", 3.0)] * 4 + [("two", 1.0), ("two", 5.0), ("null", None)], "k string, x double")
+    for f in (thresholds.otsu, thresholds.yen, thresholds.li):
+        assert {r.k for r in f(df, "x", ("k",)).collect()} <= {"two"}
+        assert not f(df.filter("k = 'null'"), "x", ("k",)).collect()
+    assert [r.k for r in thresholds.otsu(df, "x", ("k",)).collect()] == ["two"]
+
+
 def test_gini_with_zeros_and_bh(spark):
     x = [0, 0, 0, 1, 2, 2, 7]
     df = spark.createDataFrame([("a", float(v)) for v in x if v], "k string, v double")
@@ -104,6 +112,71 @@ def test_greedy_peaks(spark):
     assert sorted(x.name for x in kept.collect()) == greedy(rows)
 
 
+def test_consensus_rows_against_plain(spark):
+    """Every row: widened, thinned within groups, per million, thinned again."""
+    from accessum.plans import catalogue
+    from accessum.plans.registry import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    size = {r.chrom: (r.lo, r.hi) for r in v.chromsizes.collect()}
+    banned = [(r.chrom, r.lo, r.hi) for r in v.blacklist.collect()]
+    groups = {}
+    for r in v.peaks.collect():
+        p = (r.chrom, r.lo + r.summit - 250, r.lo + r.summit + 251, r.score, r.name)
+        if r.chrom in size and size[r.chrom][0] <= p[1] and p[2] <= size[r.chrom][1] and not any(b[0] == p[0] and p[1] < b[2] and b[1] < p[2] for b in banned):
+            groups.setdefault(r.grp, []).append(p)
+
+    def thinned(rows):
+        names = set(greedy(sorted(rows, key=lambda p: p[4], reverse=True)))
+        return [p for p in rows if p[4] in names]
+
+    union = []
+    for rows in groups.values():
+        kept = thinned(rows)
+        total = sum(p[3] for p in kept)
+        union += [(*p[:3], p[3] * 1e6 / total, p[4]) for p in kept]
+    want = sorted((c, lo + 1, hi, name, round(s, 3)) for c, lo, hi, s, name in thinned(union))
+    got = catalogue.QUERIES["consensus_peaks"](spark, v.sf_dir).collect()
+    assert sorted((r.chrom, r.lo, r.hi, r.name, round(r.score, 3)) for r in got) == want and want
+
+
+def test_markers_against_plain(spark):
+    """Planted groups, so that the p bound leaves some features out and keeps others."""
+    r = np.random.default_rng(11)
+    x = r.poisson(0.6, (20, 40))
+    x[:3, :20] += r.poisson(3, (3, 20))  # three features of the first group
+    cells = spark.createDataFrame([(i, "a" if i < 20 else "b") for i in range(40)], "cell_id long, grp string")
+    values = spark.createDataFrame([(f, c, int(x[f, c])) for f in range(20) for c in range(40) if x[f, c]], "region_id long, cell_id long, value int")
+    got = {(o.contrast, o.region_id): (o.log2fc, o.adjusted_pval) for o in diff.markers(values, diff.one_against_rest(cells, "grp")).collect()}
+    want = {}
+    for name, fg in (("a", np.arange(40) < 20), ("b", np.arange(40) >= 20)):
+        p, fold = [], []
+        for f in range(20):
+            ranks = np.array([np.sum(x[f] < v) + (np.sum(x[f] == v) + 1) / 2 for v in x[f]])
+            z = (ranks[fg].sum() - 20 * 41 / 2) / math.sqrt(20 * 20 * 41 / 12)
+            p.append(math.erfc(abs(z) / math.sqrt(2)))
+            fold.append(math.log2((x[f, fg].mean() + 1e-12) / (x[f, ~fg].mean() + 1e-12)))
+        order = sorted(p)
+        for f in range(20):
+            adjusted = min(1, min(order[j] * 20 / (j + 1) for j in range(20) if order[j] >= p[f]))
+            if adjusted <= 0.05 and fold[f] >= math.log2(1.5):
+                want[name, f] = (fold[f], adjusted)
+    assert set(got) == set(want) and {("a", 0), ("a", 1), ("a", 2)} <= set(want)
+    for k, pair in want.items():
+        assert got[k] == pytest.approx(pair)
+
+
+def test_divergence_against_numpy(spark):
+    r = np.random.default_rng(3)
+    topic, cell, size = r.dirichlet(np.ones(12), 3), r.dirichlet(np.ones(3), 9), r.integers(5, 50, 9)
+    tr = spark.createDataFrame([(w, t + 1, float(topic[t, w])) for t in range(3) for w in range(12)], "region_id int, topic int, p double")
+    ct = spark.createDataFrame([(c, t + 1, float(cell[c, t])) for c in range(9) for t in range(3)], "cell_id int, topic int, p double")
+    sizes = spark.createDataFrame([(c, int(n)) for c, n in enumerate(size)], "cell_id int, nr_frag int")
+    one, two = np.linalg.svd(topic, compute_uv=False), np.sort(size @ cell)[::-1]
+    p, q = one / one.sum(), two / two.sum()
+    assert models.divergence(tr, ct, sizes) == pytest.approx(float((p * np.log(p / q)).sum() + (q * np.log(q / p)).sum()))
+
+
 def test_knn_votes_and_communities(spark):
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(0, 0.3, (25, 4)) + [1, 0, 0, 0], r.normal(0, 0.3, (25, 4)) + [0, 0, 1, 0]])
