@@ -217,6 +217,23 @@ def test_imputation_blocks_and_binarization(spark):
         topics.cutoffs(tr, "region_id", "guess")
 
 
+def test_imputed_in_blocks(spark):
+    """Absent topics, repeated rows, null topics and empty tables; many blocks give what one gives."""
+    tr = [(1, 1, 0.5), (1, 2, 0.25), (2, 2, 0.5), (2, 2, 0.25), (3, 9, 1.0), (4, None, 1.0)] + [(r, 1, r / 100) for r in range(5, 30)]
+    ct = [(1, 1, 0.75), (1, 2, 0.25), (2, 2, 1.0), (3, None, 1.0)] + [(c, 1, c / 50) for c in range(4, 20)]
+    kinds = "region_id long, topic int, p double", "cell_id long, topic int, p double"
+    a, b = spark.createDataFrame(tr, kinds[0]), spark.createDataFrame(ct, kinds[1])
+    want = {}
+    for r, t, p in tr:
+        for c, u, q in ct:
+            if t is not None and t == u:
+                want[r, c] = want.get((r, c), 0) + p * q
+    for rows in (4, 2048):
+        got = {(x.region_id, x.cell_id): x.value for x in diff.imputed(a, b, 1, rows).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert diff.imputed(a.limit(0), b, 1).count() == 0 and diff.imputed(a, b.limit(0), 1).count() == 0
+
+
 def test_communities_are_the_plain_rounds(spark):
     """Two crowds with few links between them, a chain, and a pair; rounds until labels stand or swap to and fro."""
     r = np.random.default_rng(8)
