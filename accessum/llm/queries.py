@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, licenses, media, mixing, quality, sharding, simhash, substrings, token_counts
+from . import byte_bpe, exact_dedup, filter_audit, licenses, media, mixing, quality, sharding, simhash, substrings, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op6_repeated_substrings, op7_quality, op8_license_scan, op9_byte_bpe, op10_exact_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op6_repeated_substrings, op7_quality, op8_license_scan, op9_byte_bpe, op10_exact_dedup, op11_filter_audit)}
 
 ORACLES = {
     "op2_mix_sources": r"""
@@ -85,4 +89,38 @@ ORACLES = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op11_filter_audit": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        c AS (SELECT text, min(doc_id) AS first FROM w GROUP BY text),
+        l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+        d AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+                || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * len(regexp_extract_all(w.text, '[A-Z]')) > 5 * length(w.text) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN coalesce(w.doc_id > c.first, false) THEN 'E' ELSE '' END AS failed
+            FROM w JOIN c USING (text) LEFT JOIN l ON w.doc_id = l.doc_id),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (
+            SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS before
+            FROM o, (SELECT unnest(range(1, 6)) AS step)),
+        g AS (SELECT part, failed, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+        r AS (
+            SELECT g.*, s.*, contains(failed, filter) AS here, length(translate(failed, before, '')) < length(failed) AS earlier FROM g, s),
+        t AS (
+            SELECT part, filter_order, step, filter,
+                coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0)::BIGINT AS kept,
+                coalesce(sum(n) FILTER (here AND NOT earlier), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (here AND earlier), 0)::BIGINT AS redundant,
+                coalesce(sum(n) FILTER (failed = filter), 0)::BIGINT AS unique_fails,
+                coalesce(sum(n) FILTER (here AND NOT earlier AND good), 0)::BIGINT AS good_lost,
+                coalesce(sum(n) FILTER (here AND NOT earlier AND toxic), 0)::BIGINT AS toxic_lost
+            FROM r GROUP BY ALL)
+        SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM t
+    """,
 }
