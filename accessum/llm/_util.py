@@ -85,6 +85,17 @@ def in_pieces(batches, column: int, limit: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, j - i)
 
 
+def split_pieces(body: bytes, table: bytes, piece: int) -> Iterator[list[bytes]]:
+    """The words of body after bytes are replaced by table, which leaves spaces alone between words: of piece bytes and
+    what is left of a word at a time."""
+    body, at = body.translate(table), 0
+    while at < len(body):
+        end = body.find(b" ", at + piece) if at + piece < len(body) else -1
+        end = len(body) if end < 0 else end
+        yield body[at:end].split()
+        at = end
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow of a function of one batch; f may give None for nothing."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, filter_audit, licenses, media, mixing, quality, sharding, simhash, substrings, token_counts
+from . import byte_bpe, divergence, exact_dedup, filter_audit, licenses, media, mixing, quality, sharding, simhash, substrings, token_counts, windows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op6_repeated_substrings, op7_quality, op8_license_scan, op9_byte_bpe, op10_exact_dedup, op11_filter_audit)}
+def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = windows.remove_repeated_windows(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_mix_sources, op3_simhash_near_dedup, op4_balanced_shards, op5_token_counts, op6_repeated_substrings, op7_quality, op8_license_scan, op9_byte_bpe, op10_exact_dedup, op11_filter_audit, op12_repeated_windows, op13_source_divergence)}
 
 ORACLES = {
     "op2_mix_sources": r"""
@@ -123,4 +132,47 @@ ORACLES = {
             FROM r GROUP BY ALL)
         SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM t
     """,
+    "op12_repeated_windows": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        s AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM s),
+        g AS (
+            SELECT doc_id, i, word, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM p LEFT JOIN f USING (doc_id, i)),
+        r AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, sum((gone AND NOT before)::INT) AS n_spans, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+            FROM (SELECT *, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)
+    """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+        ln AS (SELECT lang, sum(n)::HUGEINT AS n FROM gn GROUP BY lang),
+        p AS (
+            SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gn.n + 2 * v.v) AS p
+            FROM gn JOIN k ON gn.lang = k.lang JOIN v ON v.lang = gn.lang
+            LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+        q AS (
+            SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (sum(c.n)::HUGEINT + 2)) // (ln.n + 2 * v.v) AS q
+            FROM k JOIN c USING (lang, term) JOIN ln ON ln.lang = k.lang JOIN v ON v.lang = k.lang GROUP BY k.lang, k.term, ln.n, v.v),
+        s AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+        r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT p.lang, p.source, 'term', p.term, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 10
+    """,
 }

@@ -43,4 +43,4 @@ def test_odd_and_empty(spark, odd, empty, tmp_path):
 
 def test_one_query_for_each_operator():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
