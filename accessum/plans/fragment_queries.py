@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import density, fragments, thresholds, tss
+from ..operators.saving import shared_dir
+from ..sources import bgzf
 from . import qc
 from .registry import Views, query, rounded
 
@@ -200,3 +203,12 @@ def otsu_qc_thresholds(v: Views) -> DataFrame:
 def barcode_density(v: Views) -> DataFrame:
     points = qc.barcode_frip(v.fragments, v.regions).select("cb", F.log10("unique_fragments_count").alias("x"), F.col("fraction_of_fragments_in_peaks").alias("y"))
     return rounded(density.density(points, "x", "y").select("cb", "density"), "density")
+
+
+@query("fragments", "SELECT chrom, lo, hi, cb, score FROM fragments WHERE chrom = 'view' AND lo < 1500000 AND hi > 500000")
+def fragments_of_a_range(v: Views) -> DataFrame:
+    """A chromosome's stretch of block-gzipped, indexed files that are written from the fragments first."""
+    at = f"{shared_dir(v.spark)}/fragments-{uuid.uuid4().hex}"
+    bgzf.write_bgzf(v.fragments.select("chrom", "lo", "hi", "cb", "score"), at)
+    kept = bgzf.read_bgzf(v.spark, at, v.fragments.select("chrom", "lo", "hi", "cb", "score").schema)
+    return kept.filter("chrom = 'view' and lo < 1500000 and hi > 500000")

@@ -1,4 +1,6 @@
-"""BED-like text files: fragments, regions, barcodes, narrow peaks; plain or gzipped by suffix, as Spark reads them."""
+"""BED-like text files: fragments, regions, barcodes, narrow peaks; plain or gzipped by suffix, as Spark reads them.
+
+Block-gzipped ones are read by bgzf.py, a file in many tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.fragments import with_scores
+from . import bgzf
 
 #: Columns of BED and of narrowPeak files, by this package's names.
 BED = ("chrom", "lo", "hi", "name", "score", "strand", "thick_lo", "thick_hi", "item_rgb", "block_count", "block_sizes", "block_starts")
@@ -18,7 +21,18 @@ def _kind(name: str) -> T.DataType:
     return T.IntegerType() if name in _INTS else T.DoubleType() if name in _DOUBLES else T.StringType()
 
 
-def _columns(spark: SparkSession, path: str) -> int:
+def _blocked(path: str) -> bool:
+    """Whether a file is block-gzipped; names with patterns, and files that Spark alone can open, are left to Spark."""
+    try:
+        return path.endswith((".gz", ".bgz")) and bgzf.is_bgzf(path)
+    except (OSError, ValueError):
+        return False
+
+
+def _columns(spark: SparkSession, path: str, blocked: bool) -> int:
+    if blocked:
+        line = bgzf.first_line(path)
+        return len(line.split("\t")) if line else 0
     first = spark.read.text(path).filter(F.trim("value") != "").filter(~F.col("value").startswith("#")).first()
     return len(first[0].split("\t")) if first else 0
 
@@ -26,15 +40,17 @@ def _columns(spark: SparkSession, path: str) -> int:
 def read_bed(spark: SparkSession, path: str, least: int = 3) -> DataFrame:
     """As many of BED's columns as the first data line has; blank and # lines are left out.
 
-    score stays text unless all of a file's scores are whole numbers. Fewer than `least` columns: ValueError. Empty
+    A block-gzipped file is read in many tasks, and filters on chrom, lo and hi use the .tbi index beside it. score
+    stays text unless all of a file's scores are whole numbers. Fewer than `least` columns: ValueError. Empty
     file: no rows of `least` columns.
     """
-    n = _columns(spark, path)
+    blocked = _blocked(path)
+    n = _columns(spark, path, blocked)
     if 0 < n < least:
         raise ValueError(f"{path} has {n} columns; {least} are needed")
     names = BED[: max(n, least)]
     schema = T.StructType([T.StructField(c, _kind(c)) for c in names])
-    df = spark.read.csv(path, sep="\t", schema=schema, comment="#", quote="", mode="PERMISSIVE").filter(F.col("chrom").isNotNull())
+    df = bgzf.read_bgzf(spark, path, schema) if blocked else spark.read.csv(path, sep="\t", schema=schema, comment="#", quote="", mode="PERMISSIVE").filter(F.col("chrom").isNotNull())
     if "score" in names and df.filter(~F.col("score").rlike(r"^-?\d+$") | F.col("score").isNull()).isEmpty():
         df = df.withColumn("score", F.col("score").cast("int"))
     return df
