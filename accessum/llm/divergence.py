@@ -8,9 +8,10 @@ sources and for each source's first candidates, whose ties the walk's order sett
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,19 @@ class Limits:
     """Sizes that bound memory and change no result."""
 
     #: Bytes of the first prefixes, and by how many they are lengthened where more than most_terms terms of tasks' tries share one.
-    depth: int = 4
-    most_terms: int = 2_000_000
-    #: Counters that a task holds before they go into tries and out.
-    most_held: int = 200_000
+    depth: int = 3
+    most_terms: int = 200_000
+    #: Different terms, and words, that a task holds before they go into tries and out.
+    most_held: int = 500_000
+    most_words: int = 8_000_000
     #: Terms in a block of kept ones.
     block: int = 1024
     #: Bytes of text split at once.
     piece: int = 4 << 20
 
 
-SUBTREE = f"lang string, path binary, terms int, {tries.ARRAYS}"
-KEPT = "lang string, terms array<string>, sizes array<int>, names array<string>, sources array<int>, counts array<bigint>"
+SUBTREE = f"lang string, path binary, {tries.ARRAYS}"
+KEPT = "lang string, terms array<string>, sizes array<int>, sources array<bigint>, counts array<bigint>"
 FOUND = "part string, lang string, source string, item string, value bigint"
 
 #: ASCII letters as small ones, other ASCII as a space, all else as it is: bytes of UTF-8 beyond ASCII are never below 128.
@@ -63,37 +65,57 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+class _Counted:
+    """A lang's terms by number, in the order in which they came, and the numbers of what was read, by source and by document."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+        self.words: dict[int, list[np.ndarray]] = defaultdict(list)
+        self.docs: list[np.ndarray] = []
+
+    def add(self, source: int, pieces: Iterator[list[bytes]]) -> int:
+        """How many terms a text has."""
+        found = [np.fromiter(map(self.number.__getitem__, terms), np.int32, len(terms)) for terms in pieces]
+        found = np.concatenate(found) if len(found) != 1 else found[0]
+        self.words[source].append(found)
+        self.docs.append(np.unique(found))
+        return len(found)
+
+    def subtrees(self, depth: int) -> Iterator[dict]:
+        terms = sorted(self.number)
+        order = np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms))
+        place = np.empty(len(terms), np.int64)
+        place[order] = np.arange(len(terms))
+        cells = []
+        for source, found in self.words.items():
+            n = np.bincount(np.concatenate(found), minlength=len(terms))[order]
+            at = np.flatnonzero(n)
+            cells.append((at, np.full(len(at), source), n[at]))
+        at, sources, counts = (np.concatenate(x) for x in zip(*cells))
+        by = np.argsort(at, kind="stable")
+        docs = np.bincount(np.concatenate(self.docs), minlength=len(terms))[order]
+        yield from tries.subtrees(b"", terms, docs, np.bincount(at, minlength=len(terms)), sources[by], counts[by], depth)
+
+
 def _counted(batches, limits: Limits) -> Iterator[dict]:
-    """Subtree rows of a task's documents (lang, source, body): counters are poured into tries, and these go out, when most_held are full."""
-    counts, docs = defaultdict(Counter), defaultdict(Counter)
+    """Subtree rows of a task's documents (lang, source, body): counters go into tries, and these out, when most_held or most_words are full."""
+    by_lang: dict[str, _Counted] = defaultdict(_Counted)
 
     def poured() -> Iterator[dict]:
-        by_lang = defaultdict(tries.Node)
-        for (lang, source), found in counts.items():
-            for term, n in found.items():
-                tries.leaf(by_lang[lang], term).counts[source] = n
-        for lang, found in docs.items():
-            for term, n in found.items():
-                tries.leaf(by_lang[lang], term).docs = n
-        for lang, root in by_lang.items():
-            for path, below in tries.cut(root, limits.depth):
-                yield {"lang": lang, **tries.flat(path, below)}
-        counts.clear()
-        docs.clear()
-
-    held = 0
+        for lang, counted in by_lang.items():
+            if counted.number:
+                for row in counted.subtrees(limits.depth):
+                    yield {"lang": lang, **row}
+        by_lang.clear()
+
+    words = 0
     for batch in in_pieces(batches, 2, limits.piece):
         for lang, source, body in zip(*(c.to_pylist() for c in batch.columns)):
-            here, seen, of_lang = counts[lang, source], set(), docs[lang]
-            held -= len(here) + len(of_lang)
-            for terms in split_pieces(body, _TERM_BYTES, limits.piece):
-                here.update(terms)
-                seen.update(terms)
-            of_lang.update(seen)
-            held += len(here) + len(of_lang)
-            if held > limits.most_held:
-                yield from poured()
-                held = 0
+            if body:
+                words += by_lang[lang].add(source, split_pieces(body, _TERM_BYTES, limits.piece))
+                if words > limits.most_words or len(by_lang[lang].number) > limits.most_held:
+                    yield from poured()
+                    words = 0
     yield from poured()
 
 
@@ -101,12 +123,9 @@ def _deeper(batches, depth: int) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            root = tries.Node()
-            if row["path"]:
-                root.kids = {row["path"][0]: tries.grown(row)}
-                root.kids[row["path"][0]].label = row["path"]
-            for path, below in tries.cut(root, depth):
-                yield {"lang": row["lang"], **tries.flat(path, below)}
+            of = tries.arrays(row)
+            for below in tries.subtrees(row["path"], tries.terms_of(row), of["docs"], of["sizes"], of["sources"], of["counts"], depth):
+                yield {"lang": row["lang"], **below}
 
 
 def term_tries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limits: Limits = Limits()) -> DataFrame:
@@ -116,7 +135,7 @@ def term_tries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     so that no task has to merge a large part of all terms, whatever terms are like.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    texts = docs.select(name(lang_col).alias("lang"), name(source_col).alias("source"), utf8(text_col).alias("body"))
+    texts = docs.select(name(lang_col).alias("lang"), F.xxhash64(name(source_col)).alias("source"), utf8(text_col).alias("body"))
     schema = _arrow(SUBTREE)
     now, depth, done = stage(texts.mapInArrow(lambda b: _batches(_counted(b, limits), schema), SUBTREE), "tries"), limits.depth, None
     while True:
@@ -127,7 +146,7 @@ def term_tries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         light = now.join(heavy, ["lang", "path"], "left_anti")
         done = light if done is None else done.unionByName(light)
         depth += limits.depth
-        cut = now.join(heavy, ["lang", "path"], "left_semi").mapInArrow(lambda b, d=depth: _batches(_deeper(b, d), schema), SUBTREE)
+        cut = now.join(heavy, ["lang", "path"], "left_semi").mapInArrow(lambda b: _batches(_deeper(b, limits.depth), schema), SUBTREE)
         now = stage(cut, "tries")
 
 
@@ -137,12 +156,9 @@ def _merged(batches, least: int, most: int) -> Iterator[dict]:
     block: list = []
 
     def emit() -> dict:
-        names, sources, counts, sizes = {}, [], [], []
-        for _, node in block:
-            sizes.append(len(node.counts))
-            sources += [names.setdefault(s, len(names)) for s in node.counts]
-            counts += node.counts.values()
-        return {"lang": key[0], "terms": [t.decode() for t, _ in block], "sizes": sizes, "names": list(names), "sources": sources, "counts": counts}
+        sources = [s for _, node in block for s in node.counts]
+        counts = [n for _, node in block for n in node.counts.values()]
+        return {"lang": key[0], "terms": [t.decode() for t, _ in block], "sizes": [len(node.counts) for _, node in block], "sources": sources, "counts": counts}
 
     def walked() -> Iterator[dict]:
         for term, node in tries.walk(root, key[1]):
@@ -162,7 +178,7 @@ def _merged(batches, least: int, most: int) -> Iterator[dict]:
                             yield emit()
                             block.clear()
                     key, root = (row["lang"], row["path"]), tries.Node()
-                tries.merge(root, tries.grown(row))
+                tries.merge(root, row)
     if key:
         yield from walked()
         if block:
@@ -180,9 +196,9 @@ def kept_terms(subtrees: DataFrame, least: int = LEAST_DOCS, block: int = Limits
     return stage(dealt.mapInArrow(lambda b: _batches(_merged(b, least, block), schema, 8), KEPT), "kept")
 
 
-def _scaled(count: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """1 + floor(UNIT * (count + 2) / of), exactly, by two digits of a long division; of: up to 2.9e14, and count + 2 at most that."""
-    first, rest = np.divmod((count + 2) * 31_250, of)
+def _scaled(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """1 + floor(UNIT * (n + 2) / of), exactly, by two digits of a long division; of: up to 2.9e14, and n + 2 at most that."""
+    first, rest = np.divmod((n + 2) * 31_250, of)
     return 1 + first * 32_000 + rest * 32_000 // of
 
 
@@ -198,18 +214,19 @@ def _compared(batches) -> Iterator[dict]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             terms, every, kept = row["terms"], row["all_sources"], row["kept"]
-            place = {s: j for j, s in enumerate(every)}
-            at = np.array([place[s] for s in row["names"]], int)
-            count = np.zeros((len(terms), len(every)), np.int64)
-            count[np.repeat(np.arange(len(terms)), row["sizes"]), at[row["sources"]]] = row["counts"]
-            p = _scaled(count, np.array(row["all_counts"], np.int64) + 2 * kept)
-            q = _scaled(count.sum(1), np.int64(sum(row["all_counts"]) + 2 * kept))
+            known = np.array(row["all_hashes"], np.int64)
+            by = np.argsort(known)
+            at = by[np.searchsorted(known, row["sources"], sorter=by)]
+            seen = np.zeros((len(terms), len(every)), np.int64)
+            seen[np.repeat(np.arange(len(terms)), row["sizes"]), at] = row["counts"]
+            p = _scaled(seen, np.array(row["all_counts"], np.int64) + 2 * kept)
+            q = _scaled(seen.sum(1), np.int64(sum(row["all_counts"]) + 2 * kept))
             _, sums = pairs.setdefault(row["lang"], (every, np.zeros((len(every), len(every)), np.int64)))
             for j in range(len(every) - 1):
                 sums[j, j + 1 :] += _apart(p[:, j : j + 1], p[:, j + 1 :]).sum(0)
             value = _apart(p, q[:, None])
             for j, source in enumerate(every):
-                here = np.flatnonzero((count[:, j] > 0) & (p[:, j] > q))
+                here = np.flatnonzero((seen[:, j] > 0) & (p[:, j] > q))
                 here = here[np.argsort(-value[here, j], kind="stable")][:TOP]  # the walk's order stands in ties
                 if len(here):
                     of = best[row["lang"], source]
@@ -240,13 +257,15 @@ def divergence_audit(docs: DataFrame, least: int = LEAST_DOCS, text_col: str = "
     subtrees = term_tries(docs, text_col, lang_col, source_col, limits)
     kept = kept_terms(subtrees, least, limits.block)
     unstage(subtrees)
-    groups = docs.select(name(lang_col).alias("lang"), name(source_col).alias("source")).distinct()
-    cells = kept.select("lang", "names", F.explode(F.arrays_zip("sources", "counts")).alias("c"))
-    counted = cells.groupBy("lang", F.element_at("names", F.col("c.sources") + 1).alias("source")).agg(F.sum("c.counts").alias("n"))
-    groups = stage(groups.join(counted, ["lang", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0))), "groups")
+    groups = docs.select(name(lang_col).alias("lang"), name(source_col).alias("source")).distinct().withColumn("hash", F.xxhash64("source"))
+    cells = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("c"))
+    counted = cells.groupBy("lang", F.col("c.sources").alias("hash")).agg(F.sum("c.counts").alias("n"))
+    groups = stage(groups.join(counted, ["lang", "hash"], "left").withColumn("n", F.coalesce("n", F.lit(0))), "groups")
+    if not groups.groupBy("lang", "hash").count().filter("count > 1").isEmpty():
+        raise ValueError("two sources of a lang have one hash")
     size = kept.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept"))
-    sources = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("g"))  # a lang's sources
-    sources = sources.join(size, "lang").select("lang", F.col("g.source").alias("all_sources"), F.col("g.n").alias("all_counts"), "kept")
+    sources = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n", "hash"))).alias("g"))  # a lang's sources
+    sources = sources.join(size, "lang").select("lang", F.col("g.source").alias("all_sources"), F.col("g.n").alias("all_counts"), F.col("g.hash").alias("all_hashes"), "kept")
     schema = _arrow(FOUND)
     found = stage(kept.join(sources, "lang").mapInArrow(lambda b: _batches(_compared(b), schema), FOUND), "found")
     sums = found.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

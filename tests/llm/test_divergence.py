@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from accessum.llm import divergence, tries
 from accessum.llm.queries import op13_source_divergence
 
@@ -49,34 +51,35 @@ def words(seed, n):
     return [bytes(r.choice(b"ab\xc3\xa9") for _ in range(r.randint(1, 9))) for _ in range(n)]
 
 
-def test_tries_merge_cut_and_walk_in_byte_order():
-    root, want = tries.Node(), defaultdict(Counter)
+def rows_of(found, depth):
+    """Subtree rows of {term: {source: count}}, in which a term's documents are the sum of its counts."""
+    terms = sorted(found)
+    sizes = np.array([len(found[t]) for t in terms])
+    sources, counts = (np.array([f(x) for t in terms for x in found[t].items()], np.int64) for f in (lambda x: x[0], lambda x: x[1]))
+    return list(tries.subtrees(b"", terms, np.array([sum(found[t].values()) for t in terms]), sizes, sources, counts, depth))
+
+
+def test_subtrees_merge_and_walk_in_byte_order():
+    want, roots = defaultdict(Counter), {}
     for seed in range(5):
-        one = tries.Node()
+        found = defaultdict(Counter)
         for i, w in enumerate(words(seed, 300)):
-            x = tries.leaf(one, w)
-            x.docs += 1
-            x.counts[f"s{i % 3}"] = x.counts.get(f"s{i % 3}", 0) + 1
-            want[w][f"s{i % 3}"] += 1
-        again = tries.Node()
-        for path, below in tries.cut(one, 3):  # by rows and back
-            row = tries.flat(path, below)
-            top = tries.Node(b"", {path[0]: tries.grown(row)})
-            top.kids[path[0]].label = path
-            tries.merge(again, top)
-        tries.merge(root, again)
-    got = list(tries.walk(root))
+            found[w][i % 3 - 1] += 1
+            want[w][i % 3 - 1] += 1
+        for row in rows_of(found, 2):
+            assert [row["path"] + t for t in tries.terms_of(row)] == sorted(t for t in found if t[:2] == row["path"])
+            tries.merge(roots.setdefault(row["path"], tries.Node()), row)
+    got = [x for path in sorted(roots) for x in tries.walk(roots[path], path)]
     assert [t for t, _ in got] == sorted(want)
     assert all(x.counts == dict(want[t]) and x.docs == sum(want[t].values()) for t, x in got)
 
 
 def test_terms_one_within_another_are_no_deep_recursion():
-    root, other = tries.Node(), tries.Node()
-    for n in range(1, 4000):
-        tries.leaf(root if n % 2 else other, b"a" * n).counts["s"] = n
-    tries.merge(root, other)
-    assert [len(t) for t, _ in tries.walk(root)] == list(range(1, 4000))
-    assert sum(tries.flat(p, x)["terms"] for p, x in tries.cut(root, 4)) == 3999
+    root = tries.Node()
+    for start in (1, 2):
+        for row in rows_of({b"a" * n: {7: n} for n in range(start, 4000, 2)}, 3):
+            tries.merge(tries.down(root, row["path"]), row)
+    assert [(len(t), x.counts[7]) for t, x in tries.walk(root)] == [(n, n) for n in range(1, 4000)]
 
 
 def test_whole_table(spark, small):
@@ -98,14 +101,12 @@ def test_ties_groups_without_terms_and_langs_of_one_source(spark):
 
 
 def test_small_blocks_and_heavy_prefixes_change_nothing(spark, small):
-    limits = divergence.Limits(depth=2, most_terms=200, most_held=500, block=7, piece=100)
+    limits = divergence.Limits(depth=2, most_terms=200, most_held=500, most_words=3000, block=7, piece=100)
     assert divergence.term_tries(small, limits=limits).selectExpr("max(length(path)) n").first().n > 2
     assert rows(divergence.divergence_audit(small, limits=limits)) == plain(small.collect())
 
 
 def test_scaled_is_exact():
-    import numpy as np
-
     r = random.Random(1)
     for _ in range(2000):
         of = r.randint(2, 290_000_000_000_000)
