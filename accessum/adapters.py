@@ -33,6 +33,8 @@ _VIEWS = {
     "genes": (("supplier",), f"""SELECT {_case('s_suppkey')} AS chrom, cast((s_suppkey * 25867) % 2592000 AS int) AS lo,
         cast((s_suppkey * 25867) % 2592000 + 1000 + (s_suppkey % 50) * 200 AS int) AS hi, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
         s_name AS gene, s_suppkey AS rid FROM supplier WHERE s_suppkey % 10 <> 9"""),
+    "gene_terms": (("supplier",), """SELECT s_name AS gene, concat('term_', cast(s_nationkey AS {string})) AS term FROM supplier
+        UNION ALL SELECT s_name, CASE WHEN s_acctbal < 0 THEN 'owed' ELSE 'owing' END FROM supplier"""),
     "blacklist": (("nation",), f"""SELECT {_case('n_nationkey')} AS chrom, cast((n_nationkey * 103687) % 2592000 AS int) AS lo,
         cast((n_nationkey * 103687) % 2592000 + 20000 AS int) AS hi, n_nationkey AS rid FROM nation"""),
     "chromsizes": (("events",), "SELECT DISTINCT event_type AS chrom, 0 AS lo, 2592000 AS hi FROM events"),
@@ -43,6 +45,7 @@ _VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey, o_custkey"""),
     "cells": (("customer",), """SELECT c_custkey AS cell_id, c_mktsegment AS grp,
         concat('BC', cast(c_custkey AS {string}), '___s', cast(c_nationkey % 3 AS {string})) AS cell_name FROM customer"""),
+    "vectors": (("embeddings",), "SELECT vec_id AS cell_id, label, embedding AS x FROM embeddings"),
     "cell_topic": (("embeddings",), "{topics}"),
     "topic_region": (("part",), """SELECT region_id, topic, cast(w AS double) / sum(w) OVER (PARTITION BY topic) AS p FROM
         (SELECT p_partkey AS region_id, topic, (p_partkey * topic * 31) % 97 + 1 AS w FROM part CROSS JOIN {ten} t) x"""),

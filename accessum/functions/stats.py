@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tails
+
 
 @F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
-    """P(Z > z); neither engine's SQL has an error function."""
-    return z.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(x / math.sqrt(2)))
+    """P(Z > z); neither engine's SQL has an error function. Null for null."""
+    return pd.Series(tails.normal_tail(z.to_numpy(float, na_value=math.nan))).where(z.notna())
 
 
 def log_gamma(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regions as fr
-from ..operators import intervals, signatures
+from ..operators import enrichment, intervals, signatures
 from ..sources import annotation
 from .registry import Views, query
 
@@ -184,3 +184,29 @@ def signature_regions(v: Views) -> DataFrame:
 def signature_of_term(v: Views) -> DataFrame:
     listed = v.regions.groupBy(F.col("chrom").alias("term"), (F.col("rid") % 50).alias("row")).agg(F.array_join(F.collect_list(fr.region_id()), ", ").alias("regions"))
     return signatures.term_regions(listed, "view")
+
+
+@query("regions tss gene_terms chromsizes", """+s AS (SELECT gene, t.chrom, pos, z.lo AS first, z.hi AS last, greatest(z.lo, pos - CASE WHEN strand = '-' THEN 1000 ELSE 5000 END) AS b,
+        least(z.hi, pos + CASE WHEN strand = '-' THEN 5000 ELSE 1000 END) AS e FROM tss t JOIN chromsizes z ON t.chrom = z.chrom WHERE pos >= z.lo AND pos < z.hi),
+    d AS (SELECT gene, chrom, least(b, greatest(pos - 1000000, first, coalesce(max(e) OVER p, first))) AS lo, greatest(e, least(pos + 1000000, last, coalesce(min(b) OVER n, last))) AS hi FROM s
+        WINDOW p AS (PARTITION BY chrom ORDER BY pos, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY chrom ORDER BY pos, gene ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    o AS (SELECT DISTINCT gene, term FROM gene_terms SEMI JOIN d USING (gene)),
+    c AS (SELECT term, sum(greatest(0, hi - greatest(lo, coalesce(prev, lo)))) AS covered FROM (SELECT term, lo, hi, max(hi) OVER (PARTITION BY term, chrom ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+        FROM d JOIN o USING (gene)) GROUP BY term),
+    h AS (SELECT DISTINCT r.rid, gene FROM regions r JOIN d ON r.chrom = d.chrom AND (r.lo + r.hi) // 2 >= d.lo AND (r.lo + r.hi) // 2 < d.hi),
+    k AS (SELECT term, count(DISTINCT rid) AS regions, count(DISTINCT gene) AS genes_hit FROM h JOIN o USING (gene) GROUP BY term),
+    a AS (SELECT (SELECT count(*) FROM regions) AS n, (SELECT count(DISTINCT gene) FROM h) AS drawn, (SELECT count(DISTINCT gene) FROM d) AS population, (SELECT sum(hi - lo) FROM chromsizes) AS genome),
+    x AS (SELECT g.term, g.genes, coalesce(regions, 0) AS regions, coalesce(genes_hit, 0) AS genes_hit, covered::DOUBLE / genome AS share, n, drawn, population
+        FROM (SELECT term, count(*) AS genes FROM o GROUP BY term) g JOIN c USING (term) LEFT JOIN k USING (term) CROSS JOIN a),
+    b AS (SELECT term, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(share) + (n - i) * ln(1 - share))) AS p FROM (SELECT *, unnest(range(regions, n + 1)) AS i FROM x) GROUP BY term),
+    y AS (SELECT term, sum(exp(lgamma(genes + 1) - lgamma(i + 1) - lgamma(genes - i + 1) + lgamma(population - genes + 1) - lgamma(drawn - i + 1) - lgamma(population - genes - drawn + i + 1)
+        - lgamma(population + 1) + lgamma(drawn + 1) + lgamma(population - drawn + 1))) AS p
+        FROM (SELECT *, unnest(range(greatest(genes_hit, drawn + genes - population, 0), least(genes, drawn) + 1)) AS i FROM x) GROUP BY term),
+    r AS (SELECT x.*, least(b.p, 1) AS pb, least(y.p, 1) AS ph, count(*) OVER () AS m, row_number() OVER (ORDER BY b.p) AS rb, row_number() OVER (ORDER BY y.p) AS rh FROM x JOIN b USING (term) JOIN y USING (term))
+    SELECT term, regions, round(n * share, 6) AS expected, round(regions / (n * share), 6) AS fold, round(share, 6) AS share, round(pb, 6) AS p_binomial,
+        round(least(1, min(pb * m / rb) OVER (ORDER BY round(pb, 12) DESC RANGE UNBOUNDED PRECEDING)), 6) AS q_binomial, genes, genes_hit, round(ph, 6) AS p_hypergeometric,
+        round(least(1, min(ph * m / rh) OVER (ORDER BY round(ph, 12) DESC RANGE UNBOUNDED PRECEDING)), 6) AS q_hypergeometric FROM r""")
+def term_enrichment(v: Views) -> DataFrame:
+    """Terms of genes in whose domains more regions lie than chance explains."""
+    regulatory = enrichment.domains(v.tss, v.chromsizes)
+    return rounded(enrichment.enrichment(v.regions, regulatory, v.gene_terms, v.chromsizes), "expected", "fold", "share", "p_binomial", "q_binomial", "p_hypergeometric", "q_hypergeometric")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import diff, embed, models, signatures, topics
+from ..operators import cluster, diff, embed, gibbs, models, signatures, topics
+from ..operators.saving import written
 from ..sources import tables
 from .registry import Views, query, rounded
 
@@ -207,6 +208,21 @@ def communities(v: Views) -> DataFrame:
     return embed.communities(embed.edges(embed.knn(embed.scaled_vectors(v.cell_topic), 10)))
 
 
+@query()
+def clusters_by_resolution(v: Views) -> DataFrame:
+    """resolution, cell_id, cluster: the neighbour graph's clusters at two resolutions; held against a plain optimiser by tests."""
+    links = written(embed.edges(embed.knn(embed.scaled_vectors(v.cell_topic), 10)), "edges")
+    found = [cluster.clusters(links, r).select(F.lit(r).alias("resolution"), "cell_id", "cluster") for r in (0.6, 1.2)]
+    return found[0].union(found[1])
+
+
+@query()
+def knn_index_search(v: Views) -> DataFrame:
+    """Ten nearest vectors of each whose id is divisible by 50, by inverted lists; a test measures the recall."""
+    vectors = v.vectors.select("cell_id", "x")
+    return rounded(embed.knn_by_index(vectors.filter("cell_id % 50 = 0"), vectors, 10), "distance")
+
+
 @query("cell_topic", """+n AS (SELECT cell_id, label, topic, p / sqrt(sum(p * p) OVER (PARTITION BY cell_id)) AS u FROM cell_topic),
     c AS (SELECT label, topic, sum(u) AS c FROM n WHERE cell_id % 2 = 0 GROUP BY ALL), o AS (SELECT n.cell_id, c.label, sum(u * c) AS v FROM n JOIN c USING (topic) WHERE cell_id % 2 = 1 GROUP BY ALL),
     l AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY cell_id)) AS s FROM o),
@@ -254,17 +270,75 @@ def topic_loglikelihood(v: Views) -> DataFrame:
     return rounded(models.loglikelihood(r, c, v.counts.select("region_id").distinct().count(), 4, 12.5, 0.1), "loglikelihood", digits=2)
 
 
-_MODELS = "(VALUES (2, -9.0, 0.9, 3.0, -1.0), (4, -7.0, 0.6, 2.0, -4.0), (6, -5.0, 0.5, 2.5, -2.0), (8, -4.5, 0.55, 1.0, -3.0), (10, -4.4, 0.7, 1.5, -2.5)) t(topics, loglik, density, divergence, coherence)"
+_RULE_TOPICS = (2, 4, 6, 8, 10)
+
+
+@query("counts", """+m AS (SELECT unnest([2, 4, 6, 8, 10]) AS k), w AS (SELECT count(DISTINCT region_id) AS w FROM counts),
+    t AS (SELECT k, region_id, cell_id, (region_id * 7 + cell_id // 3) % k AS topic FROM counts, m),
+    r AS (SELECT k, topic, region_id, count(*) AS n FROM t GROUP BY ALL), c AS (SELECT k, topic, cell_id, count(*) AS n FROM t GROUP BY ALL),
+    rt AS (SELECT k, topic, sum(lgamma(n + 0.1) - lgamma(0.1)) AS a, sum(n) AS t FROM r GROUP BY ALL), wl AS (SELECT k, sum(a - lgamma(t + 0.1 * w) + lgamma(0.1 * w)) AS x FROM rt, w GROUP BY k),
+    d AS (SELECT k, cell_id, sum(lgamma(n + 50.0 / k) - lgamma(50.0 / k)) AS a, sum(n) AS t FROM c GROUP BY ALL), dl AS (SELECT k, sum(a - lgamma(t + 50) + lgamma(50)) AS y FROM d GROUP BY k),
+    p AS (SELECT g.k, g.topic, g.region_id, (coalesce(r.n, 0) + 0.1::DOUBLE) / (rt.t + w.w * 0.1::DOUBLE) AS p
+        FROM (SELECT k, unnest(range(k)) AS topic, region_id FROM m, (SELECT DISTINCT region_id FROM counts)) g JOIN rt ON rt.k = g.k AND rt.topic = g.topic CROSS JOIN w
+        LEFT JOIN r ON r.k = g.k AND r.topic = g.topic AND r.region_id = g.region_id),
+    nm AS (SELECT k, topic, sqrt(sum(p * p)) AS norm FROM p GROUP BY ALL),
+    dt AS (SELECT a.k, a.topic AS i, b.topic AS j, sum(a.p * b.p) AS dot FROM p a JOIN p b ON a.k = b.k AND a.region_id = b.region_id AND a.topic < b.topic GROUP BY ALL),
+    de AS (SELECT dt.k, avg(dot / (x.norm * y.norm)) AS density FROM dt JOIN nm x ON x.k = dt.k AND x.topic = i JOIN nm y ON y.k = dt.k AND y.topic = j GROUP BY dt.k),
+    b AS (SELECT k, topic, region_id, row_number() OVER (PARTITION BY k, topic ORDER BY p DESC, region_id) AS i FROM p QUALIFY i <= 20),
+    s AS (SELECT k, topic, i, cell_id FROM b JOIN counts USING (region_id)), n AS (SELECT k, topic, i, count(*) AS n FROM s GROUP BY ALL),
+    bo AS (SELECT x.k, x.topic, x.i, y.i AS j, count(*) AS d FROM s x JOIN s y ON x.k = y.k AND x.topic = y.topic AND x.cell_id = y.cell_id AND x.i < y.i GROUP BY ALL),
+    co AS (SELECT x.k, x.topic, avg(ln((coalesce(d, 0) + 1) / x.n)) AS coherence FROM n x JOIN n y ON x.k = y.k AND x.topic = y.topic AND x.i < y.i
+        LEFT JOIN bo ON bo.k = x.k AND bo.topic = x.topic AND bo.i = x.i AND bo.j = y.i GROUP BY ALL),
+    ch AS (SELECT k, avg(coherence) AS coherence FROM (SELECT * FROM co QUALIFY row_number() OVER (PARTITION BY k ORDER BY coherence DESC, topic) <= 5) GROUP BY k),
+    e AS (SELECT k AS topics, x + y AS loglik, density, coherence FROM wl JOIN dl USING (k) JOIN de USING (k) JOIN ch USING (k)),
+    z AS (SELECT topics, coherence, (loglik - min(loglik) OVER ()) / (max(loglik) OVER () - min(loglik) OVER ()) + 1 - (density - min(density) OVER ()) / (max(density) OVER () - min(density) OVER ()) AS x FROM e),
+    f AS (SELECT topics, x + (coherence - min(coherence) OVER ()) / (max(coherence) OVER () - min(coherence) OVER ()) AS x FROM z WHERE topics >= 5)
+    SELECT topics::INTEGER AS topics, round(x, 5) AS combined, row_number() OVER (ORDER BY x DESC, topics) = 1 AS selected FROM f""")
+def model_selection(v: Views) -> DataFrame:
+    """Metrics of models whose tokens' topics follow from a rule, so that SQL can give them too."""
+    regions, out = v.counts.select("region_id").distinct().count(), None
+    for k in _RULE_TOPICS:
+        t = v.counts.withColumn("topic", ((F.col("region_id") * 7 + F.floor(F.col("cell_id") / 3)) % k + 1).cast("int"))
+        r, c = (t.groupBy(x, "topic").agg(F.count("*").alias("n")) for x in ("region_id", "cell_id"))
+        row = models.loglikelihood(r, c, regions, k, 50 / k, 0.1)
+        shares = models.region_shares(r, k, 0.1, regions)
+        for one in (models.cosine_density(shares), models.mean_of_best(models.coherence(shares, v.counts))):
+            row = row.crossJoin(one)  # one row each
+        row = row.select(F.lit(k).alias("topics"), "*")
+        out = row if out is None else out.unionByName(row)
+    return rounded(models.choose(out, ["loglikelihood"], ["density"], "coherence"), "combined", digits=5)
+
 
+def _fits(v: Views) -> list[gibbs.Sampled]:
+    return [gibbs.sample(v.counts, k, 3, seed=555) for k in (2, 5, 7)]
 
-@query(sql=f"""WITH m AS (SELECT topics::INTEGER AS topics, loglik::DOUBLE AS loglik, density::DOUBLE AS density, divergence::DOUBLE AS divergence, coherence::DOUBLE AS coherence FROM {_MODELS}),
-    s AS (SELECT topics, coherence, (loglik - min(loglik) OVER ()) / (max(loglik) OVER () - min(loglik) OVER ()) + 1 - (density - min(density) OVER ()) / (max(density) OVER () - min(density) OVER ())
-        + 1 - (divergence - min(divergence) OVER ()) / (max(divergence) OVER () - min(divergence) OVER ()) AS x FROM m),
-    c AS (SELECT topics, x + (coherence - min(coherence) OVER ()) / (max(coherence) OVER () - min(coherence) OVER ()) AS x FROM s WHERE topics >= 5)
-    SELECT topics, round(x, 6) AS combined, row_number() OVER (ORDER BY x DESC, topics) = 1 AS selected FROM c""")
-def model_selection(v: Views) -> DataFrame:
-    m = v.spark.sql(f"SELECT topics, double(loglik), double(density), double(divergence), double(coherence) FROM {_MODELS}").toDF("topics", "loglik", "density", "divergence", "coherence")
-    return rounded(models.choose(m, ["loglik"], ["density", "divergence"], "coherence"), "combined")
+
+@query()
+def gibbs_model_selection(v: Views) -> DataFrame:
+    """Models drawn by the sampler, with their metrics and which is chosen; held by tests, as draws aren't SQL."""
+    out = None
+    for fit in _fits(v):
+        row = fit.metrics(v.counts)
+        out = row if out is None else out.unionByName(row)
+    chosen = models.choose(out, ["loglikelihood"], ["density", "divergence"], "coherence")
+    return rounded(out.join(chosen, "topics", "left"), "loglikelihood", "density", "divergence", "coherence", "combined", digits=5)
+
+
+@query()
+def gibbs_topics(v: Views) -> DataFrame:
+    """topic, tokens assigned to it, its share over all cells, and its most probable region, after eight sweeps."""
+    fit = gibbs.sample(v.counts, 4, 8)
+    model, sizes = fit.model(), fit.state.select("cell_id", F.size("topics").alias("nr_frag"))
+    top = model.topic_region.groupBy("topic").agg(F.max_by("region_id", F.struct("p", -F.col("region_id"))).alias("top_region"), F.max("p").alias("top"))
+    tokens = fit.region_topic().groupBy("topic").agg(F.sum("n").alias("tokens"))
+    return rounded(tokens.join(models.marginals(model.cell_topic, sizes), "topic").join(top, "topic"), "p", "top")
+
+
+@query()
+def gibbs_trace(v: Views) -> DataFrame:
+    """sweep, loglikelihood: of the first topics and after each sweep."""
+    fit = gibbs.sample(v.counts, 4, 5, trace_every=1)
+    return rounded(v.spark.createDataFrame(fit.trace, "sweep int, loglikelihood double"), "loglikelihood", digits=2)
 
 
 @query("counts", "SELECT region_id, (region_id * 7 + cell_id) % 6 AS topic, count(*) AS n FROM counts GROUP BY ALL")
