@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import cluster, diff, embed, gibbs, models, signatures, topics
+from ..operators import batches, cluster, diff, embed, gibbs, layout, models, signatures, topics
 from ..operators.saving import written
 from ..sources import tables
 from .registry import Views, query, rounded
@@ -212,7 +212,7 @@ def communities(v: Views) -> DataFrame:
 def clusters_by_resolution(v: Views) -> DataFrame:
     """resolution, cell_id, cluster: the neighbour graph's clusters at two resolutions; held against a plain optimiser by tests."""
     links = written(embed.edges(embed.knn(embed.scaled_vectors(v.cell_topic), 10)), "edges")
-    found = [cluster.clusters(links, r).select(F.lit(r).alias("resolution"), "cell_id", "cluster") for r in (0.6, 1.2)]
+    found = [cluster.clusters(links, r, passes=1).select(F.lit(r).alias("resolution"), "cell_id", "cluster") for r in (0.6, 1.2)]
     return found[0].union(found[1])
 
 
@@ -223,6 +223,21 @@ def knn_index_search(v: Views) -> DataFrame:
     return rounded(embed.knn_by_index(vectors.filter("cell_id % 50 = 0"), vectors, 10), "distance")
 
 
+@query()
+def cells_laid_out(v: Views) -> DataFrame:
+    """cell_id and two coordinates: a layout of the neighbour graph's fuzzy sets; a test measures which neighbours it keeps."""
+    laid = layout.laid_out(embed.knn(embed.scaled_vectors(v.cell_topic), 10), steps=100, rounds=4)
+    return rounded(laid.select("cell_id", F.col("y")[0].alias("y_1"), F.col("y")[1].alias("y_2")), "y_1", "y_2", digits=4)
+
+
+@query()
+def topics_without_batches(v: Views) -> DataFrame:
+    """cell_id, topic, z: standardised topics corrected for the batch that a cell's id stands for; held against whole arrays by a test."""
+    vectors = embed.scaled_vectors(v.cell_topic).withColumn("batch", F.col("cell_id") % 3)
+    out = batches.harmonised(vectors, 6, rounds=3)
+    return rounded(out.select("cell_id", F.posexplode("x").alias("i", "z")).select("cell_id", (F.col("i") + 1).alias("topic"), "z"), "z", digits=5)
+
+
 @query("cell_topic", """+n AS (SELECT cell_id, label, topic, p / sqrt(sum(p * p) OVER (PARTITION BY cell_id)) AS u FROM cell_topic),
     c AS (SELECT label, topic, sum(u) AS c FROM n WHERE cell_id % 2 = 0 GROUP BY ALL), o AS (SELECT n.cell_id, c.label, sum(u * c) AS v FROM n JOIN c USING (topic) WHERE cell_id % 2 = 1 GROUP BY ALL),
     l AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY cell_id)) AS s FROM o),
