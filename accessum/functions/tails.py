@@ -91,3 +91,25 @@ def log_hypergeometric_tail(k: np.ndarray, population: np.ndarray, marked: np.nd
         scale, term, total = np.where(big, scale + np.log(total), scale), np.where(big, term / total, term), np.where(big, 1.0, total)
     out = np.minimum(scale + np.log(total), 0.0)
     return np.where(never, -np.inf, np.where(k <= least, 0.0, out))
+
+
+def log_poisson_tail(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """ln P(X >= k) for X Poisson: from k on, terms fall from the first by mean / (k + i); where they rise first, one less the sum below k."""
+    k, mean = (np.asarray(v, float) for v in np.broadcast_arrays(k, mean))
+    first = lambda i: i * np.log(np.maximum(mean, _TINY)) - mean - log_gamma(i + 1.0)
+    term, total = np.ones_like(k), np.ones_like(k)
+    for i in range(1, 100_000):
+        term = np.where(k + i > mean, term * mean / (k + i), 0)
+        total = total + term
+        if np.all(term <= total * 1e-17):
+            break
+    upper = first(k) + np.log(total)
+    small = np.where(k <= mean, k, 1)  # the other way is taken for these only
+    below, term = np.zeros_like(k), np.ones_like(k)  # the sum below by its last term
+    for i in range(1, 100_000):
+        below = below + np.where(small - i >= 0, term, 0)
+        term = np.where(small - i > 0, term * (small - i) / np.maximum(mean, _TINY), 0)
+        if np.all(term <= below * 1e-17):
+            break
+    lower = np.log1p(-np.minimum(np.exp(first(np.maximum(small - 1, 0))) * below, 1 - 1e-16))
+    return np.where(k <= 0, 0.0, np.where(mean <= 0, -np.inf, np.where(k > mean, upper, lower)))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import density, fragments, thresholds, tss
+from ..operators import calling, density, fragments, thresholds, tss
 from ..operators.saving import shared_dir
 from ..sources import bgzf
 from . import qc
@@ -212,3 +212,21 @@ def fragments_of_a_range(v: Views) -> DataFrame:
     bgzf.write_bgzf(v.fragments.select("chrom", "lo", "hi", "cb", "score"), at)
     kept = bgzf.read_bgzf(v.spark, at, v.fragments.select("chrom", "lo", "hi", "cb", "score").schema)
     return kept.filter("chrom = 'view' and lo < 1500000 and hi > 500000")
+
+
+@query("peaks", """+e AS (SELECT grp, chrom, x, sum(d) AS d FROM (SELECT grp, chrom, greatest(lo - 73, 0) AS x, 1 AS d FROM peaks WHERE lo + 73 > 0 UNION ALL SELECT grp, chrom, lo + 73, -1 FROM peaks WHERE lo + 73 > 0
+        UNION ALL SELECT grp, chrom, greatest(hi - 73, 0), 1 FROM peaks WHERE hi + 73 > 0 UNION ALL SELECT grp, chrom, hi + 73, -1 FROM peaks WHERE hi + 73 > 0) GROUP BY ALL HAVING sum(d) <> 0),
+    p AS (SELECT grp, chrom, x AS lo, lead(x) OVER w AS hi, sum(d) OVER w AS height FROM e WINDOW w AS (PARTITION BY grp, chrom ORDER BY x)),
+    s AS (SELECT * FROM p WHERE height > 0), b AS (SELECT grp, height, sum(hi - lo) AS bases FROM s GROUP BY ALL), g AS (SELECT 12960000 AS genome),
+    m AS (SELECT grp, height, bases, sum(bases * height) OVER (PARTITION BY grp) / genome AS mean, sum(bases) OVER (PARTITION BY grp ORDER BY height DESC) AS r, genome FROM b, g),
+    t AS (SELECT grp, height, mean, r, genome, -log10(sum(exp(i * ln(mean) - mean - lgamma(i + 1)))) AS lp FROM (SELECT *, unnest(range(height::BIGINT, height::BIGINT + 100)) AS i FROM m) GROUP BY ALL),
+    h AS (SELECT grp, height, mean, lp, greatest(0, max(lp - log10(genome) + log10(r)) OVER (PARTITION BY grp ORDER BY height)) AS lq FROM t),
+    k AS (SELECT s.*, mean, lp, lq, max(hi) OVER (PARTITION BY grp, chrom ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM s JOIN h USING (grp, height) WHERE lq >= -log10(0.05)),
+    c AS (SELECT *, sum(CASE WHEN prev IS NULL OR lo > prev + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY grp, chrom ORDER BY lo) AS run FROM k),
+    q AS (SELECT grp, chrom, min(lo) AS lo, max(hi) AS hi, arg_max((lo, hi, height, mean, lp, lq), (height, -lo)) AS t FROM c GROUP BY grp, chrom, run HAVING max(hi) - min(lo) >= 146)
+    SELECT grp, chrom, lo::BIGINT AS lo, hi::BIGINT AS hi, grp || '_peak_' || row_number() OVER (PARTITION BY grp ORDER BY chrom, lo) AS name, floor(10 * round(t[6], 6))::BIGINT AS score, '.' AS strand,
+        round((t[3] + 1) / (t[4] + 1), 6) AS fold_change, round(t[5], 6) AS minus_log10_p, round(t[6], 6) AS minus_log10_q, ((t[1] + t[2]) // 2 - lo)::BIGINT AS summit FROM q""")
+def called_peaks(v: Views) -> DataFrame:
+    """Peaks of the cuts of each group's fragments, in a genome of five chromosomes."""
+    found = calling.call_peaks(calling.cuts(v.peaks.select("grp", "chrom", "lo", "hi")), 5 * 2_592_000)
+    return rounded(found, "fold_change", "minus_log10_p", "minus_log10_q").withColumn("score", F.floor(10 * F.col("minus_log10_q")).cast("long"))
