@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dataset import Dataset, counts_of_matrix
+from . import feather
 
 
 def read_count_matrix(spark: SparkSession, path: str, **options) -> Dataset:
@@ -15,14 +16,10 @@ def read_count_matrix(spark: SparkSession, path: str, **options) -> Dataset:
 
 
 def read_model(spark: SparkSession, cell_topic: str, topic_region: str) -> tuple[DataFrame, DataFrame]:
-    """cell_topic (cell_id, topic, p) and topic_region (region_id, topic, p) from Feather files: topics by cells and
-    regions by topics, first column names. Feather has no Spark reader, so files pass through the driver."""
-    import pyarrow.feather as feather
-
-    a, b = feather.read_table(cell_topic).to_pandas(), feather.read_table(topic_region).to_pandas()
-    one = a.reset_index(drop=True).drop(columns=a.columns[0]).set_axis(range(1, len(a) + 1)).T.stack().reset_index()
-    two = b.set_index(b.columns[0]).set_axis(range(1, b.shape[1]), axis=1).stack().reset_index()
-    return spark.createDataFrame(one.set_axis(["cell_id", "topic", "p"], axis=1)), spark.createDataFrame(two.set_axis(["region_id", "topic", "p"], axis=1))
+    """cell_topic (cell_id, topic, p) and topic_region (region_id, topic, p) from Feather files of topics by cells and topics
+    by regions: a row a topic, in order, a column a cell or region. Columns that hold no numbers are left out."""
+    named = lambda path, key: feather.read_matrix(spark, path).select(F.col("name").alias(key), F.col("row").alias("topic"), F.col("value").alias("p"))
+    return named(cell_topic, "cell_id"), named(topic_region, "region_id")
 
 
 def write_qc(tables: dict[str, DataFrame], prefix: str) -> None:
