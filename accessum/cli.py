@@ -30,11 +30,17 @@ def _tss(a) -> None:
 
 
 def _topics(a) -> None:
-    from .operators import models
+    from .operators import gibbs, models
 
     spark = session()
+    counts = spark.read.parquet(a.counts)
     for k in a.topics:
-        m = models.fit(spark.read.parquet(a.counts), k, a.iterations, a.alpha, a.eta, seed=a.seed)
+        if a.method == "variational":
+            m = models.fit(counts, k, a.iterations, a.alpha, a.eta, seed=a.seed)
+        else:
+            sampled = gibbs.sample(counts, k, a.iterations, a.alpha, a.eta, seed=a.seed)
+            m = sampled.model()
+            sampled.metrics(counts).write.parquet(f"{a.output}/topics_{k}/metrics", mode="overwrite")
         m.cell_topic.write.parquet(f"{a.output}/topics_{k}/cell_topic", mode="overwrite")
         m.topic_region.write.parquet(f"{a.output}/topics_{k}/topic_region", mode="overwrite")
 
@@ -59,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("counts", "output"):
         m.add_argument(f"--{name}", required=True)
     m.add_argument("--topics", type=int, nargs="+", required=True)
+    m.add_argument("--method", choices=("gibbs", "variational"), default="gibbs", help="sampled, or fitted by Spark's variational method")
     m.add_argument("--iterations", type=int, default=500)
     m.add_argument("--alpha", type=float, default=50.0)
     m.add_argument("--eta", type=float, default=0.1)

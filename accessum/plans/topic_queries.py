@@ -367,3 +367,11 @@ def lda_fit_metrics(v: Views) -> DataFrame:
     m = models.fit(v.counts, 4, 5)
     out = m.topic_region.groupBy("topic").agg(F.count("*").alias("regions"), F.round(F.sum("p"), 6).alias("mass"), F.round(F.max("p"), 6).alias("top"))
     return out.withColumns({name: F.round(F.lit(x), 4) for name, x in m.metrics.items()})
+
+
+@query("counts cells", "SELECT region_id, cell_name AS cell_id, n AS value FROM counts JOIN cells USING (cell_id) WHERE region_id % 3 = 0 AND cell_id % 7 = 0")
+def values_subset(v: Views) -> DataFrame:
+    """Values of some features, and of cells that are given by barcode, without the sample's name."""
+    values = v.counts.join(v.cells, "cell_id").select("region_id", F.col("cell_name").alias("cell_id"), F.col("n").alias("value"))
+    barcodes = v.cells.filter("cell_id % 7 = 0").select(F.concat(F.lit("BC"), F.col("cell_id").cast("string")).alias("cell_id"))
+    return diff.subset_values(values, barcodes, v.counts.select("region_id").filter("region_id % 3 = 0"))
