@@ -147,15 +147,23 @@ def chrom_source_guess(v: Views) -> DataFrame:
     return annotation.likely_source(v.fragments, v.spark.sql(f"SELECT * FROM {_ALIAS}"))
 
 
-@query(sql="""WITH t(names) AS (VALUES (['chr1', '1', 'CM000663.2', 'NC_000001.11']), (['chr2', 'NC_000002.12', '2']), (['GL000194.1', 'chrUn_1', 'un']), (['chr9', '9'])),
-    s(ucsc, length) AS (VALUES ('chr1', 10::BIGINT), ('chr2', 20::BIGINT), ('chrUn_1', 5::BIGINT))
+@query(sql="""WITH k AS (SELECT s_suppkey AS i, s_suppkey::VARCHAR AS k, lpad(s_suppkey::VARCHAR, 6, '0') AS z FROM supplier),
+    t AS (SELECT CASE i % 3 WHEN 0 THEN ['chr' || k, k, 'CM' || z || '.1', 'NC_' || z || '.2'] WHEN 1 THEN ['NC_' || z || '.1', k, 'chr' || k] ELSE ['GL' || z || '.1', 'chrUn_' || k, 'un' || k] END AS names FROM k),
+    s AS (SELECT CASE WHEN p_partkey % 3 = 2 THEN 'chrUn_' ELSE 'chr' END || p_partkey AS ucsc, p_size::BIGINT AS length FROM part WHERE p_partkey % 5 <> 0)
     SELECT ucsc, length, ensembl, refseq, genbank FROM (SELECT list_filter(names, lambda x: x LIKE 'chr%')[1] AS ucsc,
         list_filter(names, lambda x: NOT x LIKE 'chr%' AND NOT x LIKE 'NC%' AND NOT x LIKE '%.%')[1] AS ensembl,
         list_filter(names, lambda x: x LIKE 'NC%')[1] AS refseq, list_filter(names, lambda x: x LIKE '%.%' AND NOT x LIKE 'NC%')[1] AS genbank FROM t) JOIN s USING (ucsc)""")
 def chrom_alias_kinds(v: Views) -> DataFrame:
-    rows = [(["chr1", "1", "CM000663.2", "NC_000001.11"],), (["chr2", "NC_000002.12", "2"],), (["GL000194.1", "chrUn_1", "un"],), (["chr9", "9"],)]
-    sizes = v.spark.createDataFrame([("chr1", 10), ("chr2", 20), ("chrUn_1", 5)], "ucsc string, length long")
-    return annotation.aliases_of_list(v.spark.createDataFrame(rows, "names array<string>"), sizes)
+    """Lists of names, one a supplier, in which kinds are in different places or missing."""
+    k, z = F.col("s_suppkey").cast("string"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    full = F.array(of("chr", k), k, of("CM", z, ".1"), of("NC_", z, ".2"))
+    short, loose = F.array(of("NC_", z, ".1"), k, of("chr", k)), F.array(of("GL", z, ".1"), of("chrUn_", k), of("un", k))
+    kind = F.col("s_suppkey") % 3
+    names = v.spark.read.parquet(f"{v.sf_dir}/supplier.parquet").select(F.when(kind == 0, full).when(kind == 1, short).otherwise(loose).alias("names"))
+    parts = v.spark.read.parquet(f"{v.sf_dir}/part.parquet").filter("p_partkey % 5 <> 0")
+    sizes = parts.select(F.concat(F.when(F.col("p_partkey") % 3 == 2, "chrUn_").otherwise("chr"), F.col("p_partkey").cast("string")).alias("ucsc"), F.col("p_size").cast("long").alias("length"))
+    return annotation.aliases_of_list(names, sizes)
 
 
 @query(sql="""SELECT 'chr' || (s_nationkey % 5) AS chrom, (s_suppkey * 31)::INTEGER - 1 AS lo, (s_suppkey * 31)::INTEGER AS hi, s_name AS gene, '.' AS score,
