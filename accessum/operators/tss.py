@@ -23,6 +23,34 @@ def cut_sites(fragments: DataFrame, tss: DataFrame, flank: int = FLANK) -> DataF
     return cuts.groupBy("cb", "position").agg(F.count("*").alias("n"))
 
 
+def _odd(fragments: DataFrame) -> DataFrame:
+    """Fragments without length, whose cuts may lie at a site that they don't overlap; few, if any."""
+    return fragments.filter(F.col("hi") <= F.col("lo"))
+
+
+def _places(fragments: DataFrame) -> DataFrame:
+    """chrom, at, cb: both cuts of fragments with a length; a cut within the flanks means that the fragment overlaps there."""
+    ends = F.explode(F.array(F.col("lo"), F.col("hi") - 1)).alias("at")
+    return fragments.filter(F.col("hi") > F.col("lo")).select("chrom", "cb", ends)
+
+
+def _around(places: DataFrame, tss: DataFrame, flank: int) -> DataFrame:
+    """places (chrom, at) with _bin and position, a row for each start site that they are at most flank from."""
+    sites = tss.filter(F.col("strand").isin("+", "-")).select("chrom", "pos", F.when(F.col("strand") == "+", 1).otherwise(-1).alias("_sign"), (F.col("pos") - flank).alias("_lo"), (F.col("pos") + flank + 1).alias("_hi"))
+    width = 2 * flank + 1
+    sites = sites.select("chrom", "pos", "_sign", F.explode(intervals.bins("_lo", "_hi", width)).alias("_bin"))
+    near = places.withColumn("_bin", intervals.bin_of("at", width)).join(sites, ["chrom", "_bin"])
+    return near.withColumn("position", (F.col("at") - F.col("pos")) * F.col("_sign")).filter(F.col("position").between(-flank, flank)).drop("pos", "_sign")
+
+
+def sample_cuts(fragments: DataFrame, tss: DataFrame, flank: int = FLANK) -> DataFrame:
+    """position, n: cut_sites() of all barcodes together. Cuts are counted by place before they meet start sites, so what
+    is joined is bounded by the genome's length."""
+    counted = _places(fragments).groupBy("chrom", "at").agg(F.count("*").alias("_c"))
+    found = _around(counted, tss, flank).select("position", F.col("_c").alias("n"))
+    return found.unionByName(cut_sites(_odd(fragments), tss, flank).select("position", "n")).groupBy("position").agg(F.sum("n").alias("n"))
+
+
 def dense(cuts: DataFrame, flank: int = FLANK, keys: tuple[str, ...] = ("cb",)) -> DataFrame:
     """A row for every place from -flank to flank of every key, with n = 0 where there is none."""
     grid = cuts.select(*keys).distinct().withColumn("position", F.explode(F.sequence(F.lit(-flank), F.lit(flank))))
@@ -68,15 +96,33 @@ def enrichment(cuts: DataFrame, centre: int = CENTRE, flank: int = FLANK, smooth
 
     Means of smoothed values are weighted sums of cuts, so places without cuts are never made.
     """
-    n, at = F.col("n"), F.col("position")
-    sums = cuts.groupBy("cb").agg(
-        F.sum(n * _reach(at, -flank, -flank + ends - 1, smooth, flank)).alias("_head"), F.sum(n * _reach(at, flank - ends + 1, flank, smooth, flank)).alias("_tail"),
-        F.sum(n * _reach(at, -centre, centre, smooth, flank)).alias("_mid"),
-    )
+    sums = cuts.groupBy("cb").agg(*[F.sum(F.col("n") * x).alias(c) for c, x in _parts(centre, flank, smooth, ends).items()])
+    return _level(sums, centre, ends, least)
+
+
+def _parts(centre: int, flank: int, smooth: int, ends: int) -> dict[str, Column]:
+    """What a cut at `position` adds to the sums of smoothed values at both ends and in the middle."""
+    bounds = {"_head": (-flank, -flank + ends - 1), "_tail": (flank - ends + 1, flank), "_mid": (-centre, centre)}
+    return {c: _reach(F.col("position"), first, last, smooth, flank) for c, (first, last) in bounds.items()}
+
+
+def _level(sums: DataFrame, centre: int, ends: int, least: float) -> DataFrame:
     level = F.greatest((F.col("_head") + F.col("_tail")) / (2 * ends), F.lit(least))
     return sums.select("cb", (F.col("_mid") / (2 * centre + 1) / level).alias("tss_enrichment"))
 
 
+def enrichment_of(fragments: DataFrame, tss: DataFrame, centre: int = CENTRE, flank: int = FLANK, smooth: int = SMOOTH, ends: int = ENDS, least: float = LEAST_NORM) -> DataFrame:
+    """enrichment() of the fragments' cut_sites(). What a cut adds depends on its place alone, so it is summed over start sites
+    once for each place that has cuts, and cuts look it up; there are no rows of barcodes by positions."""
+    parts = _parts(centre, flank, smooth, ends)
+    cuts = _places(fragments)
+    # a bin's places are in one task, so this grouping needs no shuffle
+    adds = _around(cuts.select("chrom", "at").distinct(), tss, flank).groupBy("chrom", "_bin", "at").agg(*[F.sum(x).alias(c) for c, x in parts.items()]).drop("_bin")
+    odd = cut_sites(_odd(fragments), tss, flank).select("cb", *[(F.col("n") * x).alias(c) for c, x in parts.items()])
+    found = cuts.join(adds, ["chrom", "at"]).select("cb", *parts).unionByName(odd)
+    return _level(found.groupBy("cb").agg(*[F.sum(c).alias(c) for c in parts]), centre, ends, least)
+
+
 def cut_matrix(fragments: DataFrame, tss: DataFrame, flank: int = FLANK) -> DataFrame:
     """cb, position, n by the older rule: a fragment's start and its end (not the last base), strands as signs; '.' is left out."""
     sites = tss.filter(F.col("strand").isin("+", "-")).select("chrom", (F.col("pos") - flank).alias("lo"), (F.col("pos") + flank + 1).alias("hi"), "pos", F.when(F.col("strand") == "+", 1).otherwise(-1).alias("sign"))

@@ -120,12 +120,12 @@ def tss_cut_matrix(v: Views) -> DataFrame:
 
 @query("fragments tss", _CUTS.format(last=1) + ", keyed AS (SELECT 1 AS k, position, sum(n)::BIGINT AS n FROM cuts GROUP BY position)" + _PROFILE + " SELECT position, n, round(smoothed, 6) AS smoothed, round(normalised, 6) AS normalised FROM prof")
 def tss_profile_sample(v: Views) -> DataFrame:
-    return rounded(tss.sample_profile(tss.cut_sites(v.fragments, v.tss)), "smoothed", "normalised")
+    return rounded(tss.sample_profile(tss.sample_cuts(v.fragments, v.tss)), "smoothed", "normalised")
 
 
 @query("fragments tss", _CUTS.format(last=1) + ", keyed AS (SELECT cb AS k, position, n FROM cuts)" + _PROFILE + " SELECT k AS cb, round(avg(normalised), 6) AS tss_enrichment FROM prof WHERE position BETWEEN -50 AND 50 GROUP BY k")
 def tss_enrichment_per_cell(v: Views) -> DataFrame:
-    return rounded(tss.enrichment(tss.cut_sites(v.fragments, v.tss)), "tss_enrichment")
+    return rounded(tss.enrichment_of(v.fragments, v.tss), "tss_enrichment")
 
 
 def _histogram(source: str, value: str, bins: int) -> str:

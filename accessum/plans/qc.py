@@ -21,7 +21,7 @@ def barcode_qc(frags: DataFrame, regions: DataFrame, sites: DataFrame, more_than
     start sites (0 without any) and the densities of three measures against the logarithm of unique fragments."""
     stats = barcode_frip(frags, regions, more_than, collapse)
     stats = stats.withColumns({f"log10_{c}": F.log10(F.col(c) + 1) for c in COUNTS})
-    near = tss.enrichment(tss.cut_sites(frags, sites, tss_options.get("flank", tss.FLANK)), **tss_options)
+    near = tss.enrichment_of(frags, sites, **tss_options)
     stats = stats.join(near, "cb", "left").withColumn("tss_enrichment", F.coalesce("tss_enrichment", F.lit(0.0)))
     if densities:  # each reads the measures a few times
         stats = saved(stats)
@@ -54,7 +54,7 @@ def run(frags: DataFrame, regions: DataFrame, sites: DataFrame, prefix: str, **o
     from ..sources.tables import write_qc
 
     stats = barcode_qc(frags, regions, sites, **options)
-    write_qc({"barcode_stats": stats, "insert_sizes": fragments.insert_sizes(frags), "tss_profile": tss.sample_profile(tss.cut_sites(frags, sites))}, prefix)
+    write_qc({"barcode_stats": stats, "insert_sizes": fragments.insert_sizes(frags), "tss_profile": tss.sample_profile(tss.sample_cuts(frags, sites))}, prefix)
     stats = frags.sparkSession.read.parquet(f"{prefix}.barcode_stats.parquet")
     cuts = otsu_thresholds(stats)
     good = passing(stats, cuts)
