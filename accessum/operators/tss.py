@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import intervals
 
 FLANK, SMOOTH, ENDS, CENTRE, LEAST_NORM = 2000, 10, 100, 50, 0.2
+MOST_SITES, TASK_FRAGMENTS = 1_000_000, 20_000
 
 
 def cut_sites(fragments: DataFrame, tss: DataFrame, flank: int = FLANK) -> DataFrame:
@@ -15,12 +16,25 @@ def cut_sites(fragments: DataFrame, tss: DataFrame, flank: int = FLANK) -> DataF
 
     Start sites: chrom, pos, strand; others than + and - are left out. Only places from -flank to flank count.
     """
-    sites = tss.filter(F.col("strand").isin("+", "-")).select("chrom", (F.col("pos") - flank).alias("lo"), (F.col("pos") + flank + 1).alias("hi"), "pos", "strand")
-    near = intervals.pairs(fragments.select("chrom", "lo", "hi", "cb"), sites, width=2 * flank + 1)
-    sign = F.when(F.col("strand_2") == "+", 1).otherwise(-1)
-    place = F.explode(F.array((F.col("lo_1") - F.col("pos_2")) * sign, (F.col("hi_1") - 1 - F.col("pos_2")) * sign)).alias("position")
-    cuts = near.select(F.col("cb_1").alias("cb"), place).filter(F.col("position").between(-flank, flank))
-    return cuts.groupBy("cb", "position").agg(F.count("*").alias("n"))
+    return _counted(fragments, tss, flank, 1)
+
+
+def _counted(fragments: DataFrame, tss: DataFrame, flank: int, last: int) -> DataFrame:
+    """cb, position, n of the cuts lo and hi - last of fragments that overlap a start site's flanks.
+
+    Fragments are dealt by barcode and meet start sites where they are, so what is shuffled is the fragments, and a task counts
+    its own barcodes' positions. The number of tasks follows from the fragments' number.
+    """
+    sites = tss.filter(F.col("strand").isin("+", "-")).select("chrom", "pos", F.when(F.col("strand") == "+", 1).otherwise(-1).alias("_sign"), (F.col("pos") - flank).alias("_lo"), (F.col("pos") + flank + 1).alias("_hi"))
+    width = 2 * flank + 1
+    binned = sites.select("*", F.explode(intervals.bins("_lo", "_hi", width)).alias("_bin"))
+    if sites.count() <= MOST_SITES:  # an annotation's rows, two each; more are joined as Spark plans it
+        binned = F.broadcast(binned)
+    tasks = max(1, -(-fragments.count() // TASK_FRAGMENTS))
+    cuts = fragments.select("chrom", "lo", "hi", "cb").repartition(tasks, "cb").withColumn("at", F.explode(F.array(F.col("lo"), F.col("hi") - last)))
+    near = cuts.withColumn("_bin", intervals.bin_of("at", width)).join(binned, ["chrom", "_bin"])
+    meet = F.col("at").between(F.col("_lo"), F.col("_hi") - 1) & (F.col("lo") < F.col("_hi")) & (F.col("_lo") < F.col("hi"))
+    return near.filter(meet).groupBy("cb", ((F.col("at") - F.col("pos")) * F.col("_sign")).alias("position")).agg(F.count("*").alias("n"))
 
 
 def _odd(fragments: DataFrame) -> DataFrame:
@@ -125,7 +139,4 @@ def enrichment_of(fragments: DataFrame, tss: DataFrame, centre: int = CENTRE, fl
 
 def cut_matrix(fragments: DataFrame, tss: DataFrame, flank: int = FLANK) -> DataFrame:
     """cb, position, n by the older rule: a fragment's start and its end (not the last base), strands as signs; '.' is left out."""
-    sites = tss.filter(F.col("strand").isin("+", "-")).select("chrom", (F.col("pos") - flank).alias("lo"), (F.col("pos") + flank + 1).alias("hi"), "pos", F.when(F.col("strand") == "+", 1).otherwise(-1).alias("sign"))
-    near = intervals.pairs(fragments.select("chrom", "lo", "hi", "cb"), sites, width=2 * flank + 1)
-    place = F.explode(F.array((F.col("lo_1") - F.col("pos_2")) * F.col("sign_2"), (F.col("hi_1") - F.col("pos_2")) * F.col("sign_2"))).alias("position")
-    return near.select(F.col("cb_1").alias("cb"), place).filter(F.col("position").between(-flank, flank)).groupBy("cb", "position").agg(F.count("*").alias("n"))
+    return _counted(fragments, tss, flank, 0)
