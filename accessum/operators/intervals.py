@@ -78,11 +78,7 @@ def intersection(a: DataFrame, b: DataFrame, how: str = "all", rid: str = "rid",
     own). shared_only keeps such rows only on chromosomes that both sides have.
     """
     if how in ("first", "last"):
-        order = F.struct("lo_2", (-F.col("hi_2")).alias("back"), f"{rid}_2")
-        found = pairs(a, b, width=width)
-        all_columns = F.struct(*found.columns)
-        pick = F.min_by if how == "first" else F.max_by
-        found = found.groupBy(f"{rid}_1").agg(pick(all_columns, order).alias("r")).select("r.*")
+        found = _one_partner(a, b, how, rid, width)
     else:
         found = pairs(a, b, "containment" if how == "containment" else "overlap", width)
     common = lambda df: df.withColumns({"lo": F.greatest("lo_1", "lo_2"), "hi": F.least("hi_1", "hi_2")})  # noqa: E731  greatest and least skip nulls
@@ -96,6 +92,24 @@ def intersection(a: DataFrame, b: DataFrame, how: str = "all", rid: str = "rid",
     return out.select("chrom", "lo", "hi", *[c for c in found.columns if c != "chrom"])
 
 
+def _one_partner(a: DataFrame, b: DataFrame, how: str, rid: str, width: int) -> DataFrame:
+    """pairs() with the first or last partner only, in order of start, then end descending, then rid.
+
+    Partners are compared as one number of start and end, which is aggregated in place while pairs are made; rows of b with
+    the same bounds are one partner, and the row itself is joined at the end. So no pair is sorted or shuffled, but one for each row
+    of a and bin. Coordinates are below 2 ** 31, as those of chromosomes.
+    """
+    pick, row_of = (F.min, F.min_by) if how == "first" else (F.max, F.max_by)
+    start, end, span = F.col("lo_2").cast("long"), F.col("hi_2").cast("long"), 1 << 32
+    found = pairs(a, b.select(*_KEYS).distinct(), width=width)
+    keys = ["chrom", *[f"{c}_1" for c in a.columns if c != "chrom"]]
+    best = found.groupBy(*keys).agg(pick(start * span + ((1 << 31) - 1 - end)).alias("_place"))
+    best = best.withColumns({"_lo": F.shiftright("_place", 32), "_hi": (1 << 31) - 1 - F.col("_place").bitwiseAND(F.lit(span - 1))})
+    two = _tagged(b, "2")
+    rows = two.groupBy("chrom", start.alias("_lo"), end.alias("_hi")).agg(row_of(F.struct(*[c for c in two.columns if c != "chrom"]), F.struct(f"{rid}_2")).alias("_r"))
+    return best.join(rows, ["chrom", "_lo", "_hi"]).select(*keys, "_r.*")
+
+
 def shaped(found: DataFrame, coords_1: bool = False, coords_2: bool = False, info_1: bool = False, info_2: bool = False, suffix: str = "_2") -> DataFrame:
     """intersection()'s columns as asked for: chrom, lo, hi, then coordinates, then other columns of either side.
 
