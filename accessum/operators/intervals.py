@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 4096
+BIN = 1024
 _KEYS = ("chrom", "lo", "hi")
 
 
