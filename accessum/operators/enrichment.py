@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 
 from ..functions import stats, tails
 from . import intervals
+from .saving import written
 
 #: Domains are wide, so are the bins in which regions meet them.
 _WIDTH = 1 << 19
+#: Places are looked up in narrower ones.
+_PIECE = 1 << 14
 
 
 @F.pandas_udf(T.DoubleType())
@@ -43,16 +46,36 @@ def domains(sites: DataFrame, sizes: DataFrame, upstream: int = 5000, downstream
     at = at.withColumn("_b", F.greatest("_first", F.col("pos") - F.when(back, downstream).otherwise(upstream))).withColumn("_e", F.least("_last", F.col("pos") + F.when(back, upstream).otherwise(downstream)))
     order = Window.partitionBy("chrom").orderBy("pos", "gene")
     before = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("_b").over(order.rowsBetween(1, Window.unboundedFollowing))
-    lo = F.least("_b", F.greatest(F.col("pos") - most, "_first", F.coalesce(before, "_first")))
-    hi = F.greatest("_e", F.least(F.col("pos") + most, "_last", F.coalesce(after, "_last")))
+    back_order = Window.partitionBy("chrom").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, -1)  # a running minimum; one over rows that follow is taken anew for each row
+    at = at.withColumns({"_before": before, "_i": F.row_number().over(order)}).withColumn("_after", F.min("_b").over(back_order))
+    lo = F.least("_b", F.greatest(F.col("pos") - most, "_first", F.coalesce("_before", "_first")))
+    hi = F.greatest("_e", F.least(F.col("pos") + most, "_last", F.coalesce("_after", "_last")))
     return at.select("gene", "chrom", lo.alias("lo"), hi.alias("hi"))
 
 
+def _middles(regions: DataFrame) -> DataFrame:
+    return regions.withColumn("at", F.floor((F.col("lo").cast("long") + F.col("hi")) / 2).cast("long"))
+
+
+def _hit(regulatory: DataFrame, places: DataFrame) -> DataFrame:
+    """gene: those with a place (chrom, at) in a domain; the first place from a domain's start on is looked up, so no pairs are made."""
+    asked = regulatory.filter("lo < hi").distinct().withColumn("rid", F.struct("gene", "chrom", "lo", "hi"))
+    points = places.select("chrom", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    first = intervals.nearest_ends(asked.select("chrom", "lo", F.col("lo").alias("hi"), "rid"), points, width=_PIECE)
+    return first.filter(F.col("after") < F.col("rid.hi")).select("rid.gene").distinct()
+
+
+def _regions_within(places: DataFrame, covered: DataFrame) -> DataFrame:
+    """term, regions: places' n within covered (term, chrom, lo, hi: apart within a term), which is cut into pieces of one bin."""
+    pieces = covered.filter("lo < hi").select("term", "chrom", "lo", "hi").withColumn("_bin", F.explode(intervals.bins(width=_PIECE)))
+    near = places.withColumn("_bin", intervals.bin_of("at", _PIECE)).repartition("chrom", "_bin").join(pieces, ["chrom", "_bin"])
+    return near.filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).groupBy("term").agg(F.sum("n").alias("regions"))
+
+
 def region_genes(regions: DataFrame, regulatory: DataFrame) -> DataFrame:
     """rid, gene: genes in whose domain a region's (chrom, lo, hi, rid) middle lies; each pair once."""
-    middle = F.floor((F.col("lo").cast("long") + F.col("hi")) / 2).cast("long")
-    points = regions.select("chrom", middle.alias("lo"), (middle + 1).alias("hi"), "rid")
+    middles = _middles(regions)
+    points = middles.select("chrom", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"), "rid")
     found = intervals.pairs(points, regulatory.select("chrom", "lo", "hi", "gene"), width=_WIDTH)
     return found.select(F.col("rid_1").alias("rid"), F.col("gene_2").alias("gene")).distinct()
 
@@ -69,9 +92,10 @@ def enrichment(regions: DataFrame, regulatory: DataFrame, terms: DataFrame, size
     covered = intervals.merged(regulatory.join(of, "gene").select("term", "chrom", "lo", "hi"), keys=("term", "chrom"))
     genome = sizes.agg(F.sum(F.col("hi").cast("long") - F.col("lo")).alias("genome"))
     share = covered.groupBy("term").agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
-    found = region_genes(regions, regulatory)
-    hits = found.join(of, "gene").groupBy("term").agg(F.countDistinct("rid").alias("regions"), F.countDistinct("gene").alias("genes_hit"))
-    of_all = regions.agg(F.count("*").alias("n")).crossJoin(found.agg(F.countDistinct("gene").alias("drawn"))).crossJoin(genes.agg(F.count("*").alias("population"))).crossJoin(genome)  # one row
+    places = written(_middles(regions).filter("at is not null").groupBy("chrom", "at").agg(F.count("*").alias("n")), "places")
+    found = written(_hit(regulatory, places), "genes")
+    hits = _regions_within(places, covered).join(of.join(found, "gene").groupBy("term").agg(F.count("*").alias("genes_hit")), "term")
+    of_all = regions.agg(F.count("*").alias("n")).crossJoin(found.agg(F.count("*").alias("drawn"))).crossJoin(genes.agg(F.count("*").alias("population"))).crossJoin(genome)  # one row
     out = of.groupBy("term").agg(F.count("*").alias("genes")).join(share, "term").join(hits, "term", "left").crossJoin(F.broadcast(of_all))
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("regions", "genes_hit")}).withColumn("share", F.col("covered") / F.col("genome"))
     out = out.withColumn("expected", F.col("n") * F.col("share"))
