@@ -78,6 +78,15 @@ def without_rows(table: DataFrame, row: str, gone: DataFrame) -> DataFrame:
     return table.join(gone.hint("shuffle_hash"), F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df as a side of a join that never sends a side whole through the driver.
+
+    Spark goes by the size of files and, of columns of arrays, by one element; a table of rows that repeat takes some
+    forty times its files' size in memory, so one below the threshold for broadcasts can fill the driver.
+    """
+    return df.hint("merge")
+
+
 def in_pieces(batches, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a column's strings or bytes sum to at most limit bytes; a longer one stands alone."""
     for batch in batches:

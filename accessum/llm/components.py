@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import stage, unstage
+from ._util import stage, unsent, unstage
 
 #: Links up to which one task (some 100 bytes each) does without rounds, each of which costs the driver plans, jobs and staged tables.
 MOST_AT_ONCE = 1 << 20
@@ -47,14 +47,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     least = stage(least, "least")
-    return both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.filter("v > u").join(unsent(least), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node ties its smaller neighbours, and itself, to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = stage(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-    tied = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = down.join(unsent(least.withColumnRenamed("u", "w")), F.col("u") == F.col("w")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", F.col("m").alias("v")))
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import free_name, in_pieces, numbered, stage, unstage, without_rows
+from ._util import free_name, in_pieces, numbered, stage, unsent, unstage, without_rows
 from .components import components
 
 WORDS, SEED, MOST_DIFFERENT, BITS, BLOCKS = 3, 42, 2, 64, 4
@@ -273,7 +273,7 @@ def near_links(fps: DataFrame, most_in_node: int = MOST_IN_NODE) -> DataFrame:
     width = 2 * (BITS // BLOCKS)
     placed = fps.select("fp").mapInArrow(_place, "node bigint, rank bigint, fp bigint")
     sizes = placed.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("node", "of")
-    shared = stage(placed.join(sizes, F.col("node") == F.col("of")).drop("of"), "nodes")
+    shared = stage(placed.join(unsent(sizes), F.col("node") == F.col("of")).drop("of"), "nodes")
     # ranks of one node share their front, so its sign doesn't disturb their order
     small = shared.filter(F.col("n") <= most_in_node).repartition("node").sortWithinPartitions("node", "rank")
     in_tree = small.select("node", "fp").mapInArrow(_node_links(most_in_node=most_in_node), "u bigint, v bigint")
@@ -281,7 +281,7 @@ def near_links(fps: DataFrame, most_in_node: int = MOST_IN_NODE) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
     balls = shared.filter(F.col("n") > most_in_node).select("node", "fp", F.explode(flips).alias("flip"), behind.alias("behind")).select("node", "fp", F.col("behind").bitwiseXOR(F.col("flip")).alias("ball"))
     least = balls.groupBy("node", "ball").agg(F.min("fp").alias("least"))  # a ball holds width + 1 fingerprints at most
-    in_ball = balls.join(least, ["node", "ball"]).filter("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    in_ball = balls.join(unsent(least), ["node", "ball"]).filter("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     return in_tree.unionByName(in_ball)
 
 
@@ -463,7 +463,7 @@ def _all_pairs(rooted: DataFrame, most: int, most_checked: int, similarity: floa
     nodes = _mixed_nodes(rooted).select("at", "common", blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("commons"))
     own = F.when(F.col("root") == F.col("common"), F.col("others") + F.pmod(F.xxhash64("text_id"), "commons")).otherwise(F.pmod(F.xxhash64("text_id"), "others"))
     last = F.when(F.col("root") == F.col("common"), F.col("others") - 1).otherwise(F.col("others") + F.col("commons") - 1)
-    dealt = rooted.join(nodes, F.col("node") == F.col("at")).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = rooted.join(unsent(nodes), F.col("node") == F.col("at")).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     dealt = dealt.select("node", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "text_id", "root", "counts", *SOUGHT, *CHECKED)
     dealt = dealt.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high")
     return dealt.mapInArrow(_block_pairs(most, most_checked, similarity), "u bigint, v bigint")
@@ -487,7 +487,7 @@ def shingle_sets(table: DataFrame, row: str, wanted: DataFrame, words: int, text
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets have the given Jaccard similarity or more."""
     a, b = (sets.select(F.col("text_id").alias(f"{x}_id"), F.col("shingles").alias(x)) for x in "ab")
-    held = pairs.join(a, F.col("u") == F.col("a_id")).join(b, F.col("v") == F.col("b_id"))
+    held = pairs.join(unsent(a), F.col("u") == F.col("a_id")).join(unsent(b), F.col("v") == F.col("b_id"))
     both = F.size(F.array_intersect("a", "b"))
     return held.filter(F.try_divide(both, F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
 
@@ -513,10 +513,10 @@ def similar_links(texts: DataFrame, known: DataFrame, sets_of, similarity: float
         for done in (out, pairs, many, sets):
             unstage(done)
         return found
-    left = texts.join(many.withColumnRenamed("text_id", "of"), F.col("text_id") == F.col("of"), "left_semi")
+    left = texts.join(unsent(many.withColumnRenamed("text_id", "of")), F.col("text_id") == F.col("of"), "left_semi")
     roots = components(known.unionByName(found)).withColumnRenamed("node", "of")
-    left = left.join(roots, F.col("text_id") == F.col("of"), "left").withColumn("root", F.coalesce("root", "text_id")).drop("of")
-    left = left.join(sets.select(F.col("text_id").alias("of"), "counts"), F.col("text_id") == F.col("of"), "left").select("text_id", "root", "counts", *lanes)
+    left = left.join(unsent(roots), F.col("text_id") == F.col("of"), "left").withColumn("root", F.coalesce("root", "text_id")).drop("of")
+    left = left.join(unsent(sets.select(F.col("text_id").alias("of"), "counts")), F.col("text_id") == F.col("of"), "left").select("text_id", "root", "counts", *lanes)
     at_nodes = stage(_at_nodes(left), "many")
     rest = stage(_all_pairs(at_nodes, most, most_checked, similarity, most_in_node), "rest")
     last = stage(_similar(rest, sets, similarity), "last")
@@ -545,11 +545,11 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: floa
     heads = stage(texts.groupBy(F.col("fp").alias("of")).agg(F.min("text_id").alias("head")), "heads")
     near = stage(near_links(heads.select(F.col("of").alias("fp"))), "near")
     ends = [heads.select(F.col("of").alias(f"{x}_of"), F.col("head").alias(f"{x}_head")) for x in "uv"]
-    known = near.join(ends[0], F.col("u") == F.col("u_of")).join(ends[1], F.col("v") == F.col("v_of")).select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
-    known = stage(known.unionByName(texts.join(heads, F.col("fp") == F.col("of")).filter("text_id != head").select(F.col("text_id").alias("u"), F.col("head").alias("v"))), "known")
+    known = near.join(unsent(ends[0]), F.col("u") == F.col("u_of")).join(unsent(ends[1]), F.col("v") == F.col("v_of")).select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    known = stage(known.unionByName(texts.join(unsent(heads), F.col("fp") == F.col("of")).filter("text_id != head").select(F.col("text_id").alias("u"), F.col("head").alias("v"))), "known")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = texts.select("text_id", "row_id").join(ids.withColumnRenamed("text_id", "of"), F.col("text_id") == F.col("of"), "left_semi")
+        wanted = texts.select("text_id", "row_id").join(unsent(ids.withColumnRenamed("text_id", "of")), F.col("text_id") == F.col("of"), "left_semi")
         return shingle_sets(docs, row, wanted, words, text_col)
 
     return _named(rows, similar_links(texts, known, sets_of, similarity, BITS // 4, most_checked).unionByName(known), "text_id")
@@ -571,12 +571,12 @@ def _named(rows: DataFrame, links: DataFrame, by: str = "fp") -> DataFrame:
     """Rows (doc_id, row_id, fp, by) with the component that the links of their `by` give them."""
     classes = rows.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("least"))
     roots = components(links)
-    rooted = classes.join(roots, F.col(by) == F.col("node"), "left").select(by, "least", F.coalesce("root", by).alias("root"))
+    rooted = classes.join(unsent(roots), F.col(by) == F.col("node"), "left").select(by, "least", F.coalesce("root", by).alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("head")).withColumnRenamed("root", "of")
     heads = stage(heads, "heads")  # a join with a table can be split where one group is large
-    named = stage(rooted.join(heads, F.col("root") == F.col("of")).select(F.col(by).alias("same"), "head"), "named")
+    named = stage(rooted.join(unsent(heads), F.col("root") == F.col("of")).select(F.col(by).alias("same"), "head"), "named")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, F.col(by) == F.col("same")).select(
+    return rows.join(unsent(named), F.col(by) == F.col("same")).select(
         "doc_id", "row_id", digits.alias("fingerprint"), F.col("head.doc_id").alias("component_id"), (F.col("row_id") == F.col("head.row_id")).alias("first")
     )
 
